@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshroute.llm import bpe, language, quality, sharding
+from meshroute.llm import bpe, fingerprints, language, quality, rules, sharding
 from meshroute.llm.common import documents
 
 
@@ -27,12 +27,22 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(documents(spark, sf_dir))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
         "op2_sharding": op2_sharding,
         "op3_language": op3_language,
         "op4_bpe": op4_bpe,
         "op6_quality": op6_quality,
+        "op8_rules": op8_rules,
+        "op9_fingerprints": op9_fingerprints,
     }
 
 
