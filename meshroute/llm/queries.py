@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshroute.llm import bpe, fingerprints, language, quality, rules, sharding
-from meshroute.llm.common import documents
+from meshroute.llm import bpe, fingerprints, language, quality, rules, sharding, tokenfile
+from meshroute.llm.common import documents, scratch_path
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    tokenfile.write_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read_files(spark, path)
+
+
 def queries() -> dict:
     return {
         "op2_sharding": op2_sharding,
@@ -43,6 +49,7 @@ def queries() -> dict:
         "op6_quality": op6_quality,
         "op8_rules": op8_rules,
         "op9_fingerprints": op9_fingerprints,
+        "op10_tokenfile": op10_tokenfile,
     }
 
 
