@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshroute.llm import bpe, fingerprints, language, quality, rules, sharding, tokenfile
+from meshroute.llm import bpe, fingerprints, language, neardup, quality, rules, sharding, tokenfile
 from meshroute.llm.common import documents, scratch_path
 
 
@@ -27,6 +27,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ def queries() -> dict:
         "op3_language": op3_language,
         "op4_bpe": op4_bpe,
         "op6_quality": op6_quality,
+        "op7_neardup": op7_neardup,
         "op8_rules": op8_rules,
         "op9_fingerprints": op9_fingerprints,
         "op10_tokenfile": op10_tokenfile,
