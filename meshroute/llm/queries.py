@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshroute.llm import bpe, fingerprints, language, neardup, quality, rules, sharding, tokenfile
+from meshroute.llm import bpe, fingerprints, language, neardup, quality, rules, sharding, substrings, tokenfile
 from meshroute.llm.common import documents, scratch_path
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_digest(documents(spark, sf_dir))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_substrings": op1_substrings,
         "op2_sharding": op2_sharding,
         "op3_language": op3_language,
         "op4_bpe": op4_bpe,
