@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshroute.llm import bpe, fingerprints, language, neardup, quality, rules, sharding, substrings, tokenfile
+from meshroute.llm import bpe, fingerprints, language, mixing, neardup, quality, rules, sharding, substrings, tokenfile
 from meshroute.llm.common import documents, scratch_path
 
 
@@ -26,6 +26,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(documents(spark, sf_dir))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.score_documents(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -55,6 +59,7 @@ def queries() -> dict:
         "op2_sharding": op2_sharding,
         "op3_language": op3_language,
         "op4_bpe": op4_bpe,
+        "op5_mixing": op5_mixing,
         "op6_quality": op6_quality,
         "op7_neardup": op7_neardup,
         "op8_rules": op8_rules,
