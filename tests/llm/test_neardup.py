@@ -39,8 +39,7 @@ def test_tree(monkeypatch):
     want = brute.components({i: int(v) for i, v in enumerate(items)}, lambda a, b: (a ^ b).bit_count() <= 4)
     got = {}
     for g in neardup.groups(items):
-        at = np.searchsorted(items, g)
-        got |= dict.fromkeys(at.tolist(), int(at.min()))
+        got |= dict.fromkeys(g.tolist(), int(g.min()))
     assert {i: got.get(i, i) for i in range(len(items))} == want
 
 
@@ -66,3 +65,35 @@ def test_odd(spark):
     got = sorted(((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(5, 4), (4, 4), (9, 4), (9, 9), (9, 9), (None, 9), (None, None)], key=str)
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def sets(texts):
+    out = {}
+    for i, t in texts.items():
+        w = [x.lower() for x in brute.words(t)]
+        out[i] = {" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    return out
+
+
+def test_similar(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    s = sets(texts)
+    alike = lambda a, b: len(a & b) / len(a | b)
+    by = {}
+    for i, x in s.items():
+        for g in x:
+            by.setdefault(g, []).append(i)
+    pairs = {}
+    for ids in by.values():
+        if len(ids) <= 40:
+            pairs |= {(a, b): alike(s[a], s[b]) for a in ids for b in ids if a < b and (a, b) not in pairs}
+    comp = {r.doc_id: r.component_id for r in neardup.similar_groups(docs).collect()}
+    near = [p for p, j in pairs.items() if j >= 0.8]
+    assert sum(comp[a] == comp[b] for a, b in near) >= 0.9 * len(near)
+    best = {}
+    for (a, b), j in pairs.items():
+        best[a], best[b] = max(best.get(a, 0), j), max(best.get(b, 0), j)
+    assert not [i for i, c in comp.items() if c != i and best.get(i, 0) < 0.6]
+    kept = {r.doc_id for r in neardup.keep_one(docs).collect()}
+    assert kept == {i for i, c in comp.items() if c == i}
