@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries after which a cache starts anew: bounds a worker's memory.
-PIECES, PAIRS = 250_000, 500_000
+PIECES, PAIRS = 800_000, 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,8 +40,9 @@ class PrefixBPE:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.text_of = {i: str(i) for i in self.bytes_of}
         self.cut = regex.compile(pattern).findall
+        #: The tokens that merging their own bytes gives.
+        self.standing = {b: i for b, i in ranks.items() if self.merged(b) == [i]}
         self._pairs: dict[int, bool] = {}
-        self._whole: dict[int, bool] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
 
     def merged(self, data: bytes) -> list[int]:
@@ -59,28 +60,38 @@ class PrefixBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def _stands(self, token: int) -> bool:
-        """Whether merging the token's bytes gives the token."""
-        if (ok := self._whole.get(token)) is None:
-            ok = self._whole[token] = self.merged(self.bytes_of[token]) == [token]
-        return ok
-
     def _beside(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        if (ok := self._pairs.get(key)) is None:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            ok = self._pairs[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        if len(self._pairs) >= PAIRS:
+            self._pairs.clear()
+        ok = self._pairs[left << 32 | right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return ok
 
-    def last_token(self, data: bytes, end: int, last: list[int]) -> int:
-        """The last token of the encoding of data[:end], from those of the shorter prefixes."""
-        get = self.ranks.get
-        for start in range(max(0, end - self.longest), end):
-            token = get(data[start:end])
-            if token is not None and self._stands(token) and (not start or self._beside(last[start], token)):
-                return token
-        raise ValueError("the vocabulary lacks a byte of the text")
+    def extend(self, data: bytes, last: list[int], old: list[int] | None = None, shift: int = 0) -> None:
+        """Appends to last[] the last tokens of the prefixes of data that it lacks.
+
+        With the last tokens `old` of the prefixes old[i] of an earlier text whose end data shares from i + shift on,
+        it stops where as many of them in a row hold again as the longest token has bytes, and takes over the rest.
+        """
+        get, known, longest, same = self.standing.get, self._pairs.get, self.longest, 0
+        for end in range(len(last), len(data) + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                if (token := get(data[start:end])) is None:
+                    continue
+                if not start:
+                    break
+                if (ok := known(last[start] << 32 | token)) is None:
+                    ok = self._beside(last[start], token)
+                if ok:
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte of the text")
+            last.append(token)
+            if old is not None:
+                at = end - shift
+                same = same + 1 if 0 <= at < len(old) and old[at] == token else 0
+                if same >= longest:
+                    last.extend(old[at + 1 :])
+                    return
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         if (token := self.ranks.get(piece)) is not None:
@@ -109,22 +120,14 @@ class PrefixTable:
 
     def append(self, more: bytes) -> None:
         self.data += more
-        for end in range(len(self.last), len(self.data) + 1):
-            self.last.append(self.bpe.last_token(self.data, end, self.last))
+        self.bpe.extend(self.data, self.last)
 
     def splice(self, start: int, stop: int, new: bytes) -> None:
         """Puts `new` in place of data[start:stop]; stops as soon as the old table holds again."""
-        tail, shift = self.last[stop + 1 :], start + len(new) - stop
+        old = [-2] * (stop + 1) + self.last[stop + 1 :]
         self.data = self.data[:start] + new + self.data[stop:]
         del self.last[start + 1 :]
-        same = 0
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self.bpe.last_token(self.data, end, self.last))
-            old = end - shift - stop - 1  # place of this prefix in the old tail
-            same = same + 1 if 0 <= old < len(tail) and tail[old] == self.last[-1] else 0
-            if same >= self.bpe.longest:
-                self.last.extend(tail[old + 1 :])
-                return
+        self.bpe.extend(self.data, self.last, old, start + len(new) - stop)
 
     def tokens(self) -> list[int]:
         out, end = [], len(self.data)
