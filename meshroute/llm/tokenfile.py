@@ -18,6 +18,7 @@ read. No document is cut; a block ends after the document with which it passes i
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,49 +26,87 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from meshroute.llm.cutting import USUAL, cutter, is_latin
+
 END = 0
 BLOCK_IDS = 1 << 20
-PIECES = 500_000
-#: How the tokenizer of the query cuts texts (its ByteLevel rule).
-CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PIECES = 1_000_000
 FORMAT = "part int, block int, first long, n_ids long, n_docs long, doc_ids array<bigint>, lengths binary, ranking binary, control binary, data binary"
 
 
+class _Places(dict):
+    """Numbers pieces in the order in which they are first asked for."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
 class PieceEncoder:
     """A tokenizer of the tokenizers library with a bounded memory of the pieces it has encoded."""
 
-    def __init__(self, path: str, cut: str | None = CUT):
+    def __init__(self, path: str, cut: str | None = USUAL):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut = regex.compile(cut).findall if cut else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.cut = cutter(cut) if cut else None
+        self._clear()
+
+    def _clear(self) -> None:
+        self.places = _Places()
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0  # the ids of all pieces, end to end
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def _learn(self) -> None:
+        """Encodes the pieces that are new."""
+        new = self.places.new
+        found = [ids for i in range(0, len(new), 10_000) for ids in self._encode(new[i : i + 10_000])]
+        new.clear()
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used += len(ids)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Beyond Latin letters engines may know different classes: such texts go in whole."""
         if self.cut is None:
-            return self._encode(texts)
-        if len(self.known) >= PIECES:
-            self.known.clear()
-        # Beyond these letters the engines may know different versions of Unicode.
-        cuts = [self.cut(t) if not t or max(t) < "ɐ" else None for t in texts]
-        new = list({p for c in cuts if c for p in c}.difference(self.known))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            self.known.update(zip(part, map(tuple, self._encode(part)), strict=True))
-        get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, c))) if c is not None else self._encode([t])[0] for c, t in zip(cuts, texts, strict=True)]
+            return [np.array(ids, np.uint32) for ids in self._encode(texts)]
+        if len(self.places) >= PIECES:
+            self._clear()
+        place = self.places.__getitem__
+        placed = [np.fromiter(map(place, self.cut(t)), np.int64) if is_latin(t) else None for t in texts]
+        if self.places.new:
+            self._learn()
+        out = []
+        for t, at in zip(texts, placed, strict=True):
+            if at is None:
+                out.append(np.array(self._encode([t])[0], np.uint32))
+                continue
+            sizes = self.sizes[at]
+            ends = np.cumsum(sizes)
+            n = int(ends[-1]) if len(ends) else 0
+            out.append(self.flat[np.arange(n) + np.repeat(self.starts[at] - ends + sizes, sizes)])
+        return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, cut: str | None = CUT) -> PieceEncoder:
+def encoder(path: str, cut: str | None = USUAL) -> PieceEncoder:
     return PieceEncoder(path, cut)
 
 
@@ -108,7 +147,7 @@ def read_block(ranking: bytes, control: bytes, data: bytes, n: int) -> np.ndarra
     return np.frombuffer(ranking, "<u4")[unpack(control, data, n)]
 
 
-def write_files(docs: DataFrame, path: str, tokenizer: str, cut: str | None = CUT, block_ids: int = BLOCK_IDS) -> None:
+def write_files(docs: DataFrame, path: str, tokenizer: str, cut: str | None = USUAL, block_ids: int = BLOCK_IDS) -> None:
     """Tokenises every text and writes the files of all documents, by ascending doc_id, to a new folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,13 +168,12 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, cut: str | None = CU
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                few = batch.slice(i, 200)
+            for i in range(0, batch.num_rows, 500):
+                few = batch.slice(i, 500)
                 for key, ids in zip(few.column(0).to_pylist(), enc.encode(few.column(1).to_pylist()), strict=True):
-                    ids.append(END)
-                    held.append(np.array(ids, np.uint32))
+                    held.append(np.append(ids, np.uint32(END)))
                     keys.append(key)
-                    state["ids"] += len(ids)
+                    state["ids"] += len(ids) + 1
                     if state["ids"] >= block_ids:
                         yield block()
         if held:
