@@ -18,10 +18,11 @@ from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshroute.llm.cutting import cutter
+
 #: Entries after which a cache starts anew: bounds a worker's memory.
 PIECES, PAIRS = 800_000, 1_000_000
 
@@ -39,7 +40,7 @@ class PrefixBPE:
         self.longest = max(map(len, ranks), default=1)
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.text_of = {i: str(i) for i in self.bytes_of}
-        self.cut = regex.compile(pattern).findall
+        self.cut = cutter(pattern)
         #: The tokens that merging their own bytes gives.
         self.standing = {b: i for b, i in ranks.items() if self.merged(b) == [i]}
         self._pairs: dict[int, bool] = {}
