@@ -53,8 +53,13 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     widths = np.diff(np.append(starts, len(data)))
     if (most := int(widths.max())) > len(_powers):
         _powers = np.cumprod(np.concatenate([[1], np.full(2 * most, _ODD)]), dtype=np.uint64)
-    at = np.arange(len(data)) - np.repeat(starts, widths)
-    return _mix(np.add.reduceat(_BYTES[data] * _powers[at], starts))
+    out, cuts = np.empty(len(starts), np.uint64), [*np.searchsorted(starts, np.arange(0, len(data), 1 << 20)).tolist(), len(starts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):  # a megabyte at a time: the arrays are many times as large
+        if a < b:
+            i, j = int(starts[a]), int(starts[b]) if b < len(starts) else len(data)
+            at = np.arange(j - i) - np.repeat(starts[a:b] - i, widths[a:b])
+            out[a:b] = np.add.reduceat(_BYTES[data[i:j]] * _powers[at], starts[a:b] - i)
+    return _mix(out)
 
 
 def _joined(h: np.ndarray, n: int) -> np.ndarray:
@@ -156,11 +161,11 @@ def _runs(texts: list[str], rank: np.ndarray, size: int, m: int) -> Iterator[tup
             yield row, at, k, key_, w.data[i:j]
 
 
-def _bundle(rank: np.ndarray, buckets: int, size: int, m: int, flush: int = 48_000_000):
+def _bundle(rank: np.ndarray, buckets: int, size: int, m: int, flush: int = 24_000_000):
     """Maps rows (doc_id, text) to rows (bucket, blob): the different strings of some texts with their least doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         held: dict[int, dict[bytes, tuple[int, bool]]] = {}
         weight = 0
 
@@ -296,7 +301,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, m: int = M) -> DataFrame
     """
     rows = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
     rank = common_pieces(docs, size, m)
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 6 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blobs = rows.select("id", "text").mapInArrow(_bundle(rank, buckets, size, m), "bucket int, blob binary")
     strings = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judged(size), "k1 long, k2 long, first_id long, seen binary")
     strings = checkpointed(strings)
