@@ -1,7 +1,8 @@
 """Contraction hierarchies as tables: ranks, upward edges in both directions, and shortcuts with their middle node.
 
-Nodes are contracted in rounds: of the nodes left, those whose (priority, id) is less than all their neighbours' form
-an independent set and go together. The order changes only the size of an index, never a distance.
+Nodes are contracted in rounds: of the nodes left, those whose priority is less than all their neighbours' (ties by a
+hash) form an independent set and go together. The last few nodes, among which hardly two are not neighbours, stay as
+a core whose edges count as upward in both directions. The order changes only the size of an index, never a distance.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ class Hierarchy:
                 df.write.mode("overwrite").parquet(f"{path}/{name}")
 
     def shortcuts(self) -> DataFrame:
-        return self.up.where("via is not null").select("src", "dst", "via").unionByName(self.down.where("via is not null").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "via"))
+        return self.up.where("via is not null").select("src", "dst", "via").unionByName(self.down.where("via is not null").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "via")).distinct()
 
 
 def load(spark: SparkSession, path: str, with_original: bool = True) -> Hierarchy:
@@ -43,26 +44,28 @@ def edge_difference() -> Column:
     return F.col("n_in") * F.col("n_out") - F.col("n_in") - F.col("n_out") + F.col("gone")
 
 
-def build(graph: Graph, priority: Callable[[], Column] = edge_difference, witness_hops: int = 2, most_rounds: int = 10_000) -> Hierarchy:
+def build(graph: Graph, priority: Callable[[], Column] = edge_difference, witness_hops: int = 2, core: int = 8) -> Hierarchy:
     """The hierarchy of a graph with weights that are not negative.
 
     priority is an expression over n_in, n_out, gone and node_id. A shortcut is left out if a way of at most
-    witness_hops (1 or 2) other edges is as short; a missed witness only costs a superfluous edge.
+    witness_hops (1 or 2) other edges is as short; a missed witness only costs a superfluous edge. core: how many
+    nodes are left uncontracted at most.
     """
     loose = graph.edges.where("src <> dst")
     edges = cut(loose.groupBy("src", "dst").agg(F.min("weight").alias("weight")).withColumn("via", F.lit(None).cast("long")))
     left = cut(graph.nodes.select("node_id", F.lit(0).alias("gone")))
     ranks, kept, base = None, None, 0
-    for _ in range(most_rounds):
-        if not left.limit(1).count():
-            break
+    if not left.limit(1).count():
+        raise ValueError("the graph has no node")
+    while left.limit(core + 1).count() > core:
         n_out = edges.groupBy(F.col("src").alias("o_id")).agg(F.count("*").alias("n_out"))
         n_in = edges.groupBy(F.col("dst").alias("i_id")).agg(F.count("*").alias("n_in"))
         p = left.join(n_out, F.col("node_id") == F.col("o_id"), "left").join(n_in, F.col("node_id") == F.col("i_id"), "left").na.fill(0, ["n_in", "n_out"])
         p = cut(p.select("node_id", priority().cast("double").alias("p")))
         beside = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).union(edges.select("dst", "src")).distinct()
-        lower = beside.join(p.toDF("y_id", "y_p"), F.col("y") == F.col("y_id")).groupBy("x").agg(F.min(F.struct("y_p", "y_id")).alias("m"))
-        go = p.join(lower, F.col("node_id") == F.col("x"), "left").where(F.col("m").isNull() | (F.struct(F.col("p").alias("y_p"), F.col("node_id").alias("y_id")) < F.col("m"))).select("node_id", "p")
+        key = lambda a, b: F.struct(F.col(a).alias("p"), F.xxhash64(b).alias("h"), F.col(b).alias("id"))
+        lower = beside.join(p.toDF("y_id", "y_p"), F.col("y") == F.col("y_id")).groupBy("x").agg(F.min(key("y_p", "y_id")).alias("m"))
+        go = p.join(lower, F.col("node_id") == F.col("x"), "left").where(F.col("m").isNull() | (key("p", "node_id") < F.col("m"))).select("node_id")
         go = cut(go)
         ids = go.select(F.col("node_id").alias("go_id"))
         part = go.select("node_id", F.lit(base).alias("round"))
@@ -88,19 +91,18 @@ def build(graph: Graph, priority: Callable[[], Column] = edge_difference, witnes
         edges = cut(merged.groupBy("src", "dst").agg(first.alias("e")).select("src", "dst", F.col("e.weight").alias("weight"), F.col("e.via").alias("via")))
         gone = beside.join(ids, F.col("x") == F.col("go_id")).groupBy(F.col("y").alias("g_id")).agg(F.count("*").alias("more"))
         left = cut(left.join(ids, F.col("node_id") == F.col("go_id"), "left_anti").join(gone, F.col("node_id") == F.col("g_id"), "left").select("node_id", (F.col("gone") + F.coalesce("more", F.lit(0))).cast("int").alias("gone")))
-    if ranks is None:
-        raise ValueError("the graph has no node")
-    ranks = cut(ranks)
+    part = left.select("node_id", F.lit(base).alias("round"))
+    ranks = cut(part if ranks is None else ranks.unionByName(part))
     # Ranks count up through the rounds; within a round by id, from counts of the rounds before.
     before = Window.partitionBy("k").orderBy("round")
     sizes = ranks.groupBy("round").count().withColumn("k", F.lit(0)).withColumn("before", F.sum("count").over(before) - F.col("count")).select(F.col("round").alias("b_round"), "before")
     ranks = cut(ranks.withColumn("at", F.row_number().over(Window.partitionBy("round").orderBy("node_id"))).join(sizes, F.col("round") == F.col("b_round")).select("node_id", (F.col("before") + F.col("at") - 1).cast("long").alias("rank")))
     r = lambda a, b: ranks.toDF(a, b)
-    if kept is None:
-        kept = edges
+    kept = kept if kept is not None else edges.limit(0)
     placed = kept.join(r("s_id", "s_rank"), F.col("src") == F.col("s_id")).join(r("d_id", "d_rank"), F.col("dst") == F.col("d_id"))
-    up = cut(placed.where("s_rank < d_rank").select("src", "dst", "weight", "via"))
-    down = cut(placed.where("s_rank > d_rank").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "via"))
+    turned = [F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "via"]
+    up = cut(placed.where("s_rank < d_rank").select("src", "dst", "weight", "via").unionByName(edges))
+    down = cut(placed.where("s_rank > d_rank").select(*turned).unionByName(edges.select(*turned)))
     return Hierarchy(ranks, up, down, cut(graph.edges.select("src", "dst", "weight")))
 
 
