@@ -133,14 +133,14 @@ def test_changes(spark, six):
 
 def test_random_against_heap(spark):
     rnd = random.Random(4)
-    adjacency = [{rnd.randrange(60): rnd.randint(1, 9) for _ in range(3)} for _ in range(60)]
+    adjacency = [{rnd.randrange(30): rnd.randint(1, 9) for _ in range(2)} for _ in range(30)]
     g = model.from_adjacency(spark, adjacency)
     want = {(o, n): d for o in (0, 7, 9) for n, d in heap(adjacency, o).items()}
     seeds = relax.seeds_of(origins(spark, 0, 7, 9))
     assert {(r.origin_id, r.node): r.dist for r in relax.relax(g.edges, seeds).collect()} == want
     dist = relax.kernel_trees(g.edges, seeds)
     assert {(r.origin_id, r.node): r.dist for r in dist.collect()} == want
-    q = pairs(spark, *[(o, n) for o in (0, 7, 9) for n in range(0, 60, 7)])
+    q = pairs(spark, *[(o, n) for o in (0, 7, 9) for n in range(0, 30, 5)])
     index = hierarchy.build(g)
     lengths = {r.query_id: (r.length, r.path) for r in hierarchy.search(index, q).collect()}
     t = {r.query_id: r.length for r in transit.distances(transit.build(index, 8), q).collect()}
