@@ -475,12 +475,12 @@ def geojson_edges(spark, sf_dir):
     return files.geojson_features(fx.ring(spark, sf_dir))
 
 
-@query("SELECT l_suppkey AS u, l_partkey AS v, round(min(round(l_extendedprice / 1000, 3)), 3) AS weight FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey <> l_suppkey GROUP BY 1, 2")
+@query("SELECT l_suppkey AS u, l_partkey AS v, round(min(floor(l_extendedprice) / 1000), 3) AS weight FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey <> l_suppkey GROUP BY 1, 2")
 def osm_graph(spark, sf_dir):
     t = lambda n: fx.table(spark, sf_dir, n)
     ids = t("part").select(F.col("p_partkey").alias("osmid")).union(t("supplier").select("s_suppkey")).distinct()
     nodes = ids.select("osmid", (F.col("osmid") % 3583 / 10 - 179).alias("x"), (F.floor(F.col("osmid") / 3583) / 10 - 70).alias("y"))
-    edges = t("lineitem").where("l_partkey <> l_suppkey").select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"), F.col("l_extendedprice").alias("length"))
+    edges = t("lineitem").where("l_partkey <> l_suppkey").select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"), F.floor("l_extendedprice").alias("length"))
     g = files.from_osm(nodes, edges, shapes=False)
     back = cut(g.nodes.select("node_id", (F.round((F.col("lon") + 179) * 10) + 3583 * F.round((F.col("lat") + 70) * 10)).cast("long").alias("osmid")))
     e = g.edges.join(back.toDF("a", "u"), F.col("src") == F.col("a")).join(back.toDF("b", "v"), F.col("dst") == F.col("b"))
