@@ -68,5 +68,14 @@ def queries() -> dict:
     }
 
 
+_OP1 = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+f AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s),
+gone AS (SELECT doc_id, list(DISTINCT k) AS ks FROM (SELECT doc_id, unnest(range(i, i + 50)) AS k FROM win JOIN f USING (s) WHERE least < doc_id) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN ks IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ks, i)) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {"op1_substrings": _OP1}
