@@ -40,13 +40,13 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     letter = _letters()[chars]
     if not letter.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    chars = np.where(letter, chars, 0).astype(np.int64)
+    chars = np.where(letter, chars, 1).astype(np.int64)  # 1 stands for an end of a word
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # of other characters, one after each word
-    c = np.concatenate([[0], chars[keep], [0]])
+    c = np.concatenate([[1], chars[keep], [1]])
     two = c[:-1] << 21 | c[1:]
     three = two[:-1] << 21 | c[2:]
-    all_ = np.concatenate([c[c > 0], two[(c[:-1] > 0) | (c[1:] > 0)], three[c[1:-1] > 0]])
+    all_ = np.concatenate([c[c > 1], two[(c[:-1] > 1) | (c[1:] > 1)], three[c[1:-1] > 1]])
     all_.sort()
     starts = np.flatnonzero(np.concatenate([[True], all_[1:] != all_[:-1]]))
     return all_[starts], np.diff(np.append(starts, len(all_)))
