@@ -51,6 +51,10 @@ class _Places(dict):
         return n
 
 
+def _parts(x: np.ndarray, n: int) -> list[np.ndarray]:
+    return [x[i : i + n] for i in range(0, len(x), n)]
+
+
 class PieceEncoder:
     """A tokenizer of the tokenizers library with a bounded memory of the pieces it has encoded."""
 
@@ -58,7 +62,11 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut = cutter(cut) if cut else None
+        self.cut, self.usual = cutter(cut) if cut else None, cut == USUAL
+        # A token's text has a letter for each byte.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.widths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.widths[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self._clear()
 
     def _clear(self) -> None:
@@ -69,19 +77,39 @@ class PieceEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _keep(self, ids: np.ndarray) -> int:
+        """Appends ids to the flat array; their place in it."""
+        at = self.used
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
     def _learn(self) -> None:
-        """Encodes the pieces that are new."""
+        """Encodes the pieces that are new.
+
+        Pieces of a space and letters, put end to end, are cut into the same pieces again, so that thousands go in as
+        one text; the widths of the ids tell where each piece ends.
+        """
         new = self.places.new
-        found = [ids for i in range(0, len(new), 10_000) for ids in self._encode(new[i : i + 10_000])]
+        starts, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        plain = np.fromiter((p[0] == " " and p[1:].isalpha() for p in new), bool, len(new))
+        if not self.usual:
+            plain[:] = False
+        for at in _parts(np.flatnonzero(plain), 4096):
+            pieces = [new[i] for i in at]
+            ids = np.array(self._encode(["".join(pieces)])[0], np.uint32)
+            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(p.encode()) for p in pieces])) + 1
+            sizes[at] = np.diff(ends, prepend=0)
+            starts[at] = self._keep(ids) + ends - sizes[at]
+        for at in _parts(np.flatnonzero(~plain), 10_000):
+            found = self._encode([new[i] for i in at])
+            sizes[at] = [len(ids) for ids in found]
+            first = self._keep(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[at].sum())))
+            starts[at] = first + np.cumsum(sizes[at]) - sizes[at]
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
         new.clear()
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.used += len(ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Beyond Latin letters engines may know different classes: such texts go in whole."""

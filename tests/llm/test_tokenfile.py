@@ -59,3 +59,11 @@ def test_files(spark, tmp_path):
 def test_cuts(text):
     assert cutting.cutter(cutting.USUAL)(text) == regex.findall(public_tokenizers.PATTERN, text)
     assert cutting.USUAL == public_tokenizers.PATTERN
+
+
+def test_many_new_pieces():
+    import random
+
+    rnd = random.Random(1)
+    text = "".join(" " + "".join(rnd.choice("abcdefghijklmnopqrstéÉßñ") for _ in range(rnd.randint(1, 12))) + rnd.choice(["", "", ".", "'s", "\n", "7"]) for _ in range(20_000))
+    assert OURS.encode([text, text[:1000]])[0].tolist() == THEIRS.encode(text, add_special_tokens=False).ids
