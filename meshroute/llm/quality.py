@@ -51,6 +51,8 @@ class Model:
     bad: bytes = b""
     mean: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
+    low: tuple[float, ...] = ()
+    high: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
     prior: float = 0.5
     _packers: list = field(default_factory=list, repr=False, compare=False)
@@ -58,8 +60,9 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_packers": []}
 
-    def features(self, text: str) -> tuple[float, float]:
-        """The normalised difference of the compressed sizes, and their mean by the size of the text."""
+    def features(self, text: str) -> tuple[float, float, float]:
+        """The normalised difference of the compressed sizes, their mean by the size of the text, and the difference
+        by the root of the sizes, which tells a few bytes of a short text from as great a share of a long one."""
         if not self._packers:
             for data in (self.good, self.bad):
                 kind = zstandard.DICT_TYPE_AUTO if data[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
@@ -72,11 +75,12 @@ class Model:
             g += len(good(x))
             b += len(bad(x))
             n += len(x)
-        return (b - g) / max(g + b, 1), (g + b) / max(2 * n, 1)
+        return (b - g) / max(g + b, 1), (g + b) / max(2 * n, 1), (b - g) / max(g + b, 1) ** 0.5
 
     def basis(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - np.array(self.mean)) / np.array(self.scale), -6, 6)
-        return np.column_stack([np.ones(len(z)), z, z**2, z[:, 0] * z[:, 1], z**3])
+        # Beyond what the curve was fitted on it stays level.
+        z = (np.clip(x, self.low, self.high) - np.array(self.mean)) / np.array(self.scale)
+        return np.column_stack([np.ones(len(z)), z, z**2, z[:, 0] * z[:, 1], z[:, 1] * z[:, 2], z[:, 2] * z[:, 0], z**3])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.prior)
@@ -88,13 +92,14 @@ class Model:
 
 
 def fit_curve(model: Model, x: np.ndarray, y: np.ndarray) -> None:
-    """Ridge-penalised logistic regression by Newton's method."""
+    """Ridge-penalised logistic regression by Newton's method; bends are penalised more than slopes."""
     model.mean, model.scale = tuple(x.mean(0)), tuple(x.std(0) + 1e-9)
+    model.low, model.high = tuple(x.min(0)), tuple(x.max(0))
     a = model.basis(x)
-    w = np.zeros(a.shape[1])
+    w, ridge = np.zeros(a.shape[1]), np.diag([1e-3, *[0.03] * x.shape[1], *[0.1] * (a.shape[1] - 1 - x.shape[1])])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.01 * np.eye(len(w)), a.T @ (p - y) + 0.01 * w)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -131,13 +136,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [model.features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64()), batch.column(1)], ["a", "b", "quality"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([v[i] for v in x], pa.float64()) for i in range(3)), batch.column(1)], ["a", "b", "c", "quality"])
 
-    seen = rows.where("not for_dict and text <> ''").select("text", "quality").mapInArrow(measure, "a double, b double, quality int").collect()
+    seen = rows.where("not for_dict and text <> ''").select("text", "quality").mapInArrow(measure, "a double, b double, c double, quality int").collect()
     if seen:
-        y = np.array([r[2] for r in seen], float)
+        y = np.array([r[3] for r in seen], float)
         model.prior = float(y.mean())
-        fit_curve(model, np.array([[r[0], r[1]] for r in seen]), y)
+        fit_curve(model, np.array([r[:3] for r in seen]), y)
     return model
 
 
