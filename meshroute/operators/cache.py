@@ -12,6 +12,14 @@ from meshroute.session import cut
 SCHEMA = "origin_id long, node long, dist double, pred long"
 
 
+def check_ids(graph: Graph, pairs: DataFrame) -> None:
+    """Raises ValueError if an origin_id or destination_id isn't a node."""
+    ids = pairs.select(F.col("origin_id").alias("id")).union(pairs.select("destination_id")).distinct()
+    bad = [r.id for r in ids.join(graph.nodes.select("node_id"), F.col("id") == F.col("node_id"), "left_anti").limit(5).collect()]
+    if bad:
+        raise ValueError(f"not nodes of the graph: {bad}")
+
+
 class TreeCache:
     def __init__(self, graph: Graph):
         self.graph, self._version = graph, graph.version
@@ -45,6 +53,7 @@ class TreeCache:
         return self.get().join(origins.select(F.col("origin_id").alias("w_origin")).distinct(), F.col("origin_id") == F.col("w_origin"), "left_semi")
 
     def shortest_paths(self, pairs: DataFrame, length_only: bool = False) -> DataFrame:
+        check_ids(self.graph, pairs)
         tree = self.ensure(pairs.select("origin_id"))
         if not length_only:
             return paths.tree_paths(tree, pairs)

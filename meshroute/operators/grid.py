@@ -16,6 +16,7 @@ from meshroute.session import cut
 # The eight moves and their costs, and a body of one cell.
 MOVES = [(0, 1, 1.0), (1, 0, 1.0), (0, -1, 1.0), (-1, 0, 1.0), (1, 1, 1.4142), (1, -1, 1.4142), (-1, 1, 1.4142), (-1, -1, 1.4142)]
 BODY = [(0.0, 0.0), (0.0, 1.0), (1.0, 0.0), (1.0, 1.0)]
+FORMAT = 1
 
 
 def swept(body: list[tuple[float, float]], dx: int, dy: int) -> list[tuple[int, int]]:
@@ -52,6 +53,21 @@ class Grid:
         return node_id % self.x_size, node_id // self.x_size
 
 
+def save(grid: Grid, path: str, include_blocks: bool = True) -> None:
+    """The grid as a Parquet folder: edges, nodes, sizes and, unless left out, the blocked cells."""
+    grid.graph.edges.write.mode("overwrite").parquet(f"{path}/edges")
+    grid.graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    (grid.blocks if include_blocks else grid.blocks.limit(0)).write.mode("overwrite").parquet(f"{path}/blocks")
+    grid.graph.spark.createDataFrame([(FORMAT, grid.x_size, grid.y_size)], "format int, x_size int, y_size int").write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load(spark: SparkSession, path: str) -> Grid:
+    meta = spark.read.parquet(f"{path}/meta").first()
+    if meta.format != FORMAT:
+        raise ValueError(f"{path} has format {meta.format}, not {FORMAT}")
+    return Grid(Graph(spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/nodes")), meta.x_size, meta.y_size, spark.read.parquet(f"{path}/blocks"))
+
+
 def cells(spark: SparkSession, x_size: int, y_size: int) -> DataFrame:
     """(node_id, x, y), node_id = x + y * x_size."""
     return spark.range(x_size * y_size).select(F.col("id").alias("node_id"), (F.col("id") % x_size).cast("int").alias("x"), F.expr(f"cast(id div {x_size} as int)").alias("y"))

@@ -105,6 +105,13 @@ def test_route_strategies(spark, six, strategy):
     assert routing.route(six, trips(spark, (0, 0, 2, 1)), strategy=strategy, length_only=True).first().length == 10
 
 
+@pytest.mark.parametrize("strategy", routing.INDEXED)
+def test_route_by_index(spark, six, strategy):
+    q = trips(spark, (0, 0, 2, 1), (0.1, 0.1, 0.05, 0.2), (1, 2, 0, 0))
+    key = lambda r: (r.query_id, round(r.length, 6), r.path, r.coordinate_path)
+    assert sorted(map(key, routing.route(six, q, strategy=strategy).collect())) == sorted(map(key, routing.route(six, q).collect()))
+
+
 def test_route_with_added_ends(spark, six):
     heavy = six.with_(edges=six.edges.withColumn("weight", F.col("weight") * 40))
     r = routing.route(heavy, trips(spark, (-0.2, 0.1, 2.2, 1.1)), origin_method="closest", destination_method="closest").first()
@@ -141,7 +148,7 @@ def wall(n, x):
     return [(x, y) for y in range(3, n)]
 
 
-def test_grid(spark):
+def test_grid(spark, tmp_path):
     g = grid.build(spark, 11, 10, wall(10, 5))
     q = spark.createDataFrame([(0, 1.0, 8.0, 8.0, 8.0), (1, 1.0, 1.1, 1.0, 2.3), (2, 0.0, 0.0, 8.0, 8.0)], "query_id long, ox double, oy double, dx double, dy double")
     r = grid.route(g, q, form="list_of_lists").orderBy("query_id").collect()
@@ -149,6 +156,10 @@ def test_grid(spark):
     assert r[1].length == pytest.approx(1.4) and r[1].coordinate_path == [[1, 1.1], [1, 1], [1, 2], [1, 2.3]] and r[1].path == [-1, 12, 23, -1]
     assert r[2].length is None
     assert g.place(g.index(3, 4)) == (3, 4)
+    grid.save(g, f"{tmp_path}/g")
+    again = grid.load(spark, f"{tmp_path}/g")
+    assert (again.x_size, again.y_size) == (11, 10) and again.blocks.count() == g.blocks.count()
+    assert grid.route(again, q.where("query_id = 0")).first().length == r[0].length
     with pytest.raises(ValueError):
         g.index(11, 0)
     big = grid.build(spark, 20, 20, [(10, y) for y in range(5, 20)], walls=True)

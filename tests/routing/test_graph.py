@@ -63,6 +63,12 @@ def test_paths(spark, six):
     assert {r.query_id: (r.weight, r.missing) for r in w.collect()} == {**{i: (n, 0) for i, (n, _) in want.items()}, 9: (None, 1)}
 
 
+def test_unknown_ids(spark, six):
+    for pair in ((0, 99), (-1, 0)):
+        with pytest.raises(ValueError, match="not nodes"):
+            cache.TreeCache(six).shortest_paths(pairs(spark, pair))
+
+
 def test_unreachable_and_multi_source(spark):
     g = model.from_adjacency(spark, LOOSE)
     got = cache.TreeCache(g).shortest_paths(pairs(spark, (0, 7), (6, 8))).collect()
