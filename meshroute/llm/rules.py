@@ -25,8 +25,8 @@ SPREAD, MIN_GROUP, ACCURACY = 3.0, 50, 1000
 MEASURES: dict[str, tuple[float | None, float]] = {
     "symbol_ratio": (None, 0.03),
     "upper_ratio": (None, 0.10),
-    "dup_line_ratio": (None, 0.30),
-    "repeat_ratio": (None, 0.15),
+    "dup_line_ratio": (None, 0.50),
+    "repeat_ratio": (None, 0.20),
     "mean_word": (2.5, 3.0),
 }
 
