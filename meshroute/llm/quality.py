@@ -92,17 +92,26 @@ class Model:
 
 
 def fit_curve(model: Model, x: np.ndarray, y: np.ndarray) -> None:
-    """Ridge-penalised logistic regression by Newton's method; bends are penalised more than slopes."""
-    model.mean, model.scale = tuple(x.mean(0)), tuple(x.std(0) + 1e-9)
-    model.low, model.high = tuple(x.min(0)), tuple(x.max(0))
+    """Ridge-penalised logistic regression by Newton's method; bends are penalised more than slopes.
+
+    The loss is convex; a step that doesn't lower it is halved, so that it converges from anywhere.
+    """
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    model.mean, model.scale = tuple(mean), tuple(scale)
+    model.low, model.high = tuple(np.maximum(x.min(0), mean - 6 * scale)), tuple(np.minimum(x.max(0), mean + 6 * scale))
     a = model.basis(x)
     w, ridge = np.zeros(a.shape[1]), np.diag([1e-3, *[0.03] * x.shape[1], *[0.1] * (a.shape[1] - 1 - x.shape[1])])
-    for _ in range(50):
+    loss = lambda w: float(np.logaddexp(0, np.where(y > 0, -1, 1) * (a @ w)).sum() + w @ ridge @ w / 2)
+    now = loss(w)
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        size = 1.0
+        while (then := loss(w - size * step)) > now and size > 1e-6:
+            size /= 2
+        if now - then < 1e-9 * (1 + now):
             break
+        w, now = w - size * step, then
     model.weights = tuple(w)
 
 

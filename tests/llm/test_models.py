@@ -87,3 +87,17 @@ def test_growth_moves_little():
     where = lambda n: {(b, k): s for b, lo, hi, s, _ in sharding.plan_segments(counts, n) for k in range(lo, hi)}
     a, b = where(24), where(25)
     assert sum(a[k] != b[k] for k in a) < 0.15 * len(a)
+
+
+def test_curve_converges():
+    import numpy as np
+
+    rnd = np.random.default_rng(0)
+    y = (np.arange(6000) % 7 > 0).astype(float)
+    x = np.column_stack([rnd.normal(y * 0.6 - 0.5, 0.05), rnd.gamma(4, 0.1, 6000), rnd.normal(y * 30 - 25, 3)])
+    x[:20, 1] = 4.0
+    model = quality.Model()
+    quality.fit_curve(model, x, y)
+    p = 1 / (1 + np.exp(-model.basis(x) @ np.array(model.weights)))
+    assert np.mean((p >= 0.3) == (y == 1)) > 0.999
+    assert np.mean(1 / (1 + np.exp(-model.basis(x * 3) @ np.array(model.weights)))) > 0.5
