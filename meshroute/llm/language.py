@@ -8,7 +8,8 @@ All training rows count. Their n-grams are summed in Spark; to the driver go onl
 1/SHARE of a language's, of which there are at most SHARE for each language.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, as is any text if nothing was learned;
-ties between languages go to the smaller name, ties in frequency to the smaller n-gram; repeated rows count each;
+ties between languages go to the smaller name, ties in frequency to the
+n-gram that some language ranks higher, then to the smaller; repeated rows count each;
 columns other than doc_id, text and lang are not read.
 """
 
@@ -52,8 +53,10 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return all_[starts], np.diff(np.append(starts, len(all_)))
 
 
-def top(grams: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    return grams[np.argsort(-counts, kind="stable")[:length]]
+def top(grams: np.ndarray, counts: np.ndarray, usual: np.ndarray | None = None, length: int = LENGTH) -> np.ndarray:
+    """The most frequent n-grams; of equally frequent ones those of the least usual rank come first, then by letters."""
+    order = np.argsort(-counts, kind="stable") if usual is None else np.lexsort((usual, -counts))
+    return grams[order[:length]]
 
 
 class Ranker:
@@ -66,12 +69,19 @@ class Ranker:
             order = np.argsort(profiles[name], kind="stable")
             self.grams.append(profiles[name][order])
             self.ranks.append(order)
+        # The best rank that any language gives an n-gram: a short text has many n-grams of one count.
+        every = np.concatenate([profiles[n] for n in self.names]) if profiles else np.zeros(0, np.int64)
+        ranks = np.concatenate([np.arange(len(profiles[n])) for n in self.names]) if profiles else np.zeros(0, np.int64)
+        order = np.lexsort((ranks, every))
+        self.known, first = np.unique(every[order], return_index=True)
+        self.usual = np.append(ranks[order][first], LENGTH)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         grams, counts = ngrams(text) if text else ((), ())
         if not len(grams) or not self.names:
             return "und", 0.0
-        own = top(grams, counts)
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        own = top(grams, counts, np.where(self.known[at] == grams, self.usual[at], LENGTH))
         place = np.arange(len(own))
         worst = len(own) * LENGTH
         found = []
