@@ -219,7 +219,7 @@ def remove_node(spark, sf_dir):
     return _whole(model.remove_last_node(fx.ring(spark, sf_dir))[0].edges)
 
 
-@query(f"WITH {fx.PART_SQL} SELECT src, list_sort(list({{'dst': dst, 'weight': w}}))::VARCHAR AS out FROM (SELECT * FROM e WHERE src < 0) GROUP BY 1 UNION ALL SELECT src, string_agg(dst || ':' || w, ',' ORDER BY dst) FROM e GROUP BY 1")
+@query(f"WITH {fx.PART_SQL} SELECT src, string_agg(dst || ':' || w, ',' ORDER BY dst) AS out FROM e GROUP BY 1")
 def packed_adjacency(spark, sf_dir):
     out = F.transform("out", lambda x: F.concat(x["dst"].cast("string"), F.lit(":"), x["weight"].cast("long").cast("string")))
     return fx.part_graph(spark, sf_dir).packed().select("src", F.array_join(out, ",").alias("out"))
@@ -328,9 +328,6 @@ def bbox_fallback(spark, sf_dir):
     return _attached(spark, sf_dir, "closest", fallback=True)
 
 
-_AT = "{'lat': 3.5, 'lon': 10.25}"
-
-
 @query(f"WITH {fx.RING_SQL}, {fx.RING_NODES_SQL}, pt AS (SELECT 3.5 AS lat, 10.25 AS lon), c AS (SELECT node_id, {_h('pt', 'nd')} AS km, pow(nd.lat - pt.lat, 2) + pow(nd.lon - pt.lon, 2) AS sq, CASE WHEN nd.lat > pt.lat THEN 'n' ELSE 's' END || CASE WHEN nd.lon > pt.lon THEN 'e' ELSE 'w' END AS part FROM pt, nd WHERE abs(nd.lat - pt.lat) <= 60 AND abs(nd.lon - pt.lon) <= 60), l AS (SELECT arg_min(node_id, sq) AS node_id, round(round(arg_min(km, sq) * 1.2, 4), 3) AS w FROM c GROUP BY part) SELECT src, dst, w::DOUBLE AS weight FROM e UNION ALL SELECT 25, node_id, w FROM l UNION ALL SELECT node_id, 25, w FROM l")
 def attach_coord_node(spark, sf_dir):
     g, _ = attach.attach_node(fx.ring(spark, sf_dir), 3.5, 10.25, "quadrant", bound=60.0, circuity=1.2)

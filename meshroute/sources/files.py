@@ -63,7 +63,7 @@ class Registry:
         return self.spark.createDataFrame(rows, "name string, cached boolean")
 
     def put(self, name: str, graph: GeoGraph) -> None:
-        save(graph, f"{self.root}/{name}")
+        save(graph, f"{self.root}/{check_name(name)}")
 
     def get(self, name: str) -> GeoGraph:
         p, fs = self._path(name)
