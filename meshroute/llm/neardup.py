@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb, prod
 
 import numpy as np
 import pyarrow as pa
@@ -120,8 +121,9 @@ def groups(items: np.ndarray, radius: int = RADIUS) -> list[np.ndarray]:
     return out
 
 
-def _chains(radius: int, words: int = 1):
-    """Maps rows (key, node[, fingerprint of several words]), sorted by key, to chains of the groups of each key."""
+def _chains(radius: int, words: int = 1, star: bool = False):
+    """Maps rows (key, node[, fingerprint of several words]), sorted by key, to chains of the groups of each key, or to
+    links of each group's least node with the others."""
 
     def links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> list[np.ndarray]:
         cut = np.flatnonzero(np.diff(keys)) + 1
@@ -129,8 +131,8 @@ def _chains(radius: int, words: int = 1):
         out = []
         for a, b in zip(*(x[ends - starts > 1].tolist() for x in (starts, ends)), strict=True):
             for g in groups(fps[a:b], radius):
-                chain = nodes[a:b][g]
-                out.append(np.column_stack([chain[:-1], chain[1:]]))
+                chain = np.sort(nodes[a:b][g]) if star else nodes[a:b][g]
+                out.append(np.column_stack([np.repeat(chain[:1], len(chain) - 1) if star else chain[:-1], chain[1:]]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +215,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, hot
 # ---- Near duplicates by a similarity of shingle sets, with wide fingerprints.
 
 WIDE = 4
+#: Bits of a key and number of tables. Neither follows the size of the corpus, as what share of pairs meet depends on both.
+BITS, TABLES = 16, 64
 _STREAMS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -233,14 +237,86 @@ def radius_of(similarity: float) -> int:
     return round(64 * WIDE * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
 
 
-def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tables: int = 32) -> DataFrame:
+def table_bits() -> np.ndarray:
+    """The places of the bits that key each table."""
+    return np.random.default_rng(7).permuted(np.tile(np.arange(64 * WIDE), (TABLES, 1)), axis=1)[:, :BITS]
+
+
+def share_met(similarity: float, radius: int = 64 * WIDE) -> float:
+    """The expected share of pairs of this similarity that meet in a shard of some table and lie within the radius."""
+    n, p = 64 * WIDE, float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+    out = 0.0
+    for d in range(min(radius, n - BITS) + 1):
+        same = prod((n - d - i) / (n - i) for i in range(BITS))
+        out += comb(n, d) * p**d * (1 - p) ** (n - d) * (1 - (1 - same) ** TABLES)
+    return out
+
+
+def _dealt(rows: DataFrame, size: DataFrame, hot: int) -> DataFrame:
+    """rows (key, node, ...), where each key of more than `hot` rows, which size (key, count) has, is cut into parts and
+    each pair of parts gets a key: all pairs of rows still meet, and no key has many more than `hot` rows."""
+    size = checkpointed(size.where(F.col("count") > hot).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") * 2 / hot).cast("int").alias("parts")))
+    if not size.limit(1).count():
+        return rows
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
+    rest = [c for c in rows.columns if c != "key"]
+    return rows.join(F.broadcast(size), F.col("key") == F.col("hot_key"), "left").select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(pairs)).alias("key"), *rest)
+
+
+def _rechained(stars: DataFrame) -> DataFrame:
+    """Links (a, b) with the components of stars (a, b), about one for each b and few for any node.
+
+    A node that several tables link to different hubs keeps the least; that hub is linked with the others instead.
+    """
+    own = stars.groupBy("b").agg(F.min("a").alias("hub"), F.collect_set("a").alias("all"))
+    spokes = checkpointed(own.select("hub", F.explode(F.array_union(F.array("b"), "all")).alias("b")).where("hub <> b").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = node = None
+        for batch in batches:
+            if batch.num_rows:
+                h, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                before = np.append(b[0] if node is None else node, b[:-1])
+                same = h == np.append(h[0] - 1 if hub is None else hub, h[:-1])
+                hub, node = h[-1], b[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(same, before, h)), pa.array(b)], ["a", "b"])
+
+    return spokes.repartitionByRange("hub", "b").sortWithinPartitions("hub", "b").mapInArrow(run, "a long, b long")
+
+
+def _met(one: DataFrame, radius: int, hot: int) -> DataFrame:
+    """Links (a, b) whose components are those of all fingerprints (node, fp) that meet in a table within the radius."""
+    chosen = table_bits()
+
+    def spread(with_rows: bool):
+        power = np.int64(1) << np.arange(BITS, dtype=np.int64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 2000):
+                    few = batch.slice(i, 2000)
+                    raw = np.frombuffer(b"".join(few.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
+                    on = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
+                    for t in range(TABLES):
+                        key = pa.array((on[:, chosen[t]] @ power) + (t << 32))
+                        yield pa.RecordBatch.from_arrays([key, few.column(0), few.column(1)], ["key", "node", "fp"]) if with_rows else pa.RecordBatch.from_arrays([key], ["key"])
+
+        return run
+
+    prints = one.select("node", "fp")
+    size = prints.mapInArrow(spread(False), "key long").groupBy("key").count()
+    keyed = _dealt(prints.mapInArrow(spread(True), "key long, node long, fp binary"), size, hot)
+    return _rechained(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_chains(radius, WIDE, star=True), "a long, b long"))
+
+
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
     """doc_id, th (a hash of the text) and component_id for every row.
 
     Documents are linked where their wide fingerprints are as close as the similarity of their sets of k-word shingles
-    demands. Each table keys the fingerprints by a fixed choice of their bits, and a shard of one key is searched by a
-    BK-tree; with more fingerprints the keys take more bits, so that shards stay small. The fingerprint estimates the
-    similarity with a standard error of about 0.03. Of pairs that are close enough, with 16-bit keys nine in ten with
-    a similarity of 0.8 share a key, and 998 in a thousand with 0.9.
+    demands. Each table keys the fingerprints by a fixed choice of their bits, as many at any size of the corpus, and a
+    shard of one key is searched by a BK-tree; shards of more than `hot` fingerprints are cut into parts and each pair
+    of parts is searched. The fingerprint estimates the similarity with a standard error of about 0.03.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,22 +327,7 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tables:
     prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp binary")
     prints = checkpointed(prints.withColumn("node", F.xxhash64("fp")))
     one = checkpointed(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least")))
-    n = one.count()
-    bits = min(28, max(16, int(np.ceil(np.log2(max(n, 1) / 8)))))
-    chosen = np.random.default_rng(7).permuted(np.tile(np.arange(64 * WIDE), (tables, 1)), axis=1)[:, :bits]
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        power = np.int64(1) << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                few = batch.slice(i, 2000)
-                raw = np.frombuffer(b"".join(few.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
-                on = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array((on[:, chosen[t]] @ power) + (t << 32)), few.column(0), few.column(1)], ["key", "node", "fp"])
-
-    keyed = one.select("node", "fp").mapInArrow(spread, "key long, node long, fp binary")
-    edges = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_chains(radius_of(similarity), WIDE), "a long, b long")
+    edges = _met(one, radius_of(similarity), hot)
     labels = connected(edges)
     joined = checkpointed(one.join(labels.toDF("l_node", "label"), F.col("node") == F.col("l_node"), "left").select("node", "least", F.coalesce("label", "node").alias("label")))
     best = checkpointed(joined.groupBy("label").agg(F.min("least").alias("component_id")).withColumnRenamed("label", "b_label"))

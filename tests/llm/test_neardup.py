@@ -97,3 +97,20 @@ def test_similar(spark):
     assert not [i for i, c in comp.items() if c != i and best.get(i, 0) < 0.6]
     kept = {r.doc_id for r in neardup.keep_one(docs).collect()}
     assert kept == {i for i, c in comp.items() if c == i}
+
+
+def test_tables_meet(spark):
+    """Keys are as wide at any size, and shards that are cut give the same groups."""
+    assert neardup.table_bits().shape == (neardup.TABLES, 16)
+    assert neardup.share_met(0.8) > 0.96 and neardup.share_met(0.9) > 0.999
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (40, 32), np.uint8)
+    items = []
+    for x in base:
+        for _ in range(12):
+            flips = np.zeros(256, np.uint8)
+            flips[rng.choice(256, rng.integers(1, 25), replace=False)] = 1
+            items.append((x ^ np.packbits(flips)).tobytes())
+    one = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(items)], "node long, fp binary")
+    whole, cut = ({r.node: r.label for r in components.connected(neardup._met(one, 39, hot)).collect()} for hot in (20_000, 4))
+    assert whole == cut and len({whole[i] for i in whole}) == 40 and len(whole) > 450
