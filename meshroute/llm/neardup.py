@@ -217,6 +217,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, hot
 WIDE = 4
 #: Bits of a key and number of tables. Neither follows the size of the corpus, as what share of pairs meet depends on both.
 BITS, TABLES = 16, 64
+#: Candidates are searched within the radius of a similarity less by MARGIN; PART is the most sets compared in one place.
+MARGIN, PART = 0.15, 1000
+#: Links below a node of a group's tree: chains would take more rounds to label.
+FANOUT = 8
 _STREAMS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -264,6 +268,14 @@ def _dealt(rows: DataFrame, size: DataFrame, hot: int) -> DataFrame:
     return rows.join(F.broadcast(size), F.col("key") == F.col("hot_key"), "left").select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(pairs)).alias("key"), *rest)
 
 
+def _tree_links(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows whose equal values of runs lie together: whether each is the first of its run, and the place of the row of
+    its run that it links to, so that runs become trees in which a row has FANOUT below it."""
+    first = np.append(True, runs[1:] != runs[:-1])[: len(runs)]
+    start = np.maximum.accumulate(np.where(first, np.arange(len(runs)), 0))
+    return first, start + np.maximum(np.arange(len(runs)) - start - 1, 0) // FANOUT
+
+
 def _rechained(stars: DataFrame) -> DataFrame:
     """Links (a, b) with the components of stars (a, b), about one for each b and few for any node.
 
@@ -273,14 +285,11 @@ def _rechained(stars: DataFrame) -> DataFrame:
     spokes = checkpointed(own.select("hub", F.explode(F.array_union(F.array("b"), "all")).alias("b")).where("hub <> b").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub = node = None
-        for batch in batches:
-            if batch.num_rows:
-                h, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                before = np.append(b[0] if node is None else node, b[:-1])
-                same = h == np.append(h[0] - 1 if hub is None else hub, h[:-1])
-                hub, node = h[-1], b[-1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(same, before, h)), pa.array(b)], ["a", "b"])
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            hubs, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
+            first, at = _tree_links(hubs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(first, hubs, nodes[at])), pa.array(nodes)], ["a", "b"])
 
     return spokes.repartitionByRange("hub", "b").sortWithinPartitions("hub", "b").mapInArrow(run, "a long, b long")
 
@@ -310,13 +319,68 @@ def _met(one: DataFrame, radius: int, hot: int) -> DataFrame:
     return _rechained(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_chains(radius, WIDE, star=True), "a long, b long"))
 
 
+def alike_links(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> np.ndarray:
+    """Links (a, b), as trees, of the components of nodes whose sets have the Jaccard similarity, of pairs within the radius.
+
+    A pair is left out only where both are linked already or where its sizes rule the similarity out.
+    """
+    sizes, label = np.array([len(x) for x in sets]), np.arange(len(nodes))
+    for i in range(1, len(nodes)):
+        open_ = np.flatnonzero((label[:i] != label[i]) & (_far(fps[:i], fps[i]) <= radius))
+        open_ = open_[np.minimum(sizes[open_], sizes[i]) >= similarity * np.maximum(sizes[open_], sizes[i]) - 1e-9]
+        while len(open_):
+            j, open_ = open_[0], open_[1:]
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both / max(1, sizes[i] + sizes[j] - both) >= similarity:
+                label[label == label[j]] = label[i]
+                open_ = open_[label[open_] != label[i]]
+    order = np.lexsort((nodes, label))
+    first, at = _tree_links(label[order])
+    return np.column_stack([nodes[order][at], nodes[order]])[~first]
+
+
+def _verified(docs: DataFrame, members: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b) of alike members (key, node, fp, kd, th): those of one key, by the sets of their documents' texts."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), k)).tobytes() for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["key", "node", "fp", "sh"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            one = {x[1]: x for x in held}  # repeated rows count once
+            held.clear()
+            fps = np.frombuffer(b"".join(x[2] for x in one.values()), "<u8").reshape(-1, WIDE)
+            ab = alike_links(np.array(list(one), np.int64), fps, [np.frombuffer(x[3], np.uint64) for x in one.values()], similarity, radius)
+            return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield flush()
+                held.append(row)
+        if held:
+            yield flush()
+
+    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("t_kd"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t_th"), "text")
+    on = (F.col("kd") == F.col("t_kd")) & (F.col("th") == F.col("t_th"))
+    rows = texts.join(members, on).select("key", "node", "fp", "text").mapInArrow(shingled, "key long, node long, fp binary, sh binary")
+    dealt = _dealt(rows, members.groupBy("key").count(), PART)
+    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(compared, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
     """doc_id, th (a hash of the text) and component_id for every row.
 
-    Documents are linked where their wide fingerprints are as close as the similarity of their sets of k-word shingles
-    demands. Each table keys the fingerprints by a fixed choice of their bits, as many at any size of the corpus, and a
-    shard of one key is searched by a BK-tree; shards of more than `hot` fingerprints are cut into parts and each pair
-    of parts is searched. The fingerprint estimates the similarity with a standard error of about 0.03.
+    Candidates are documents whose wide fingerprints are as close as sets of k-word shingles of a similarity less by
+    MARGIN are expected to be. Each table keys the fingerprints by a fixed choice of their bits, as many at any size of
+    the corpus, and a shard of one key is searched by a BK-tree; shards of more than `hot` fingerprints are cut into
+    parts and each pair of parts is searched. In each component of candidates the pairs are then compared by the exact
+    Jaccard similarity of their sets, a large one by parts likewise, and only those that reach it are linked.
+    Fingerprints are equal for equal sets and for such that hardly differ, which count as equal.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,9 +390,11 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hot: in
 
     prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp binary")
     prints = checkpointed(prints.withColumn("node", F.xxhash64("fp")))
-    one = checkpointed(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least")))
-    edges = _met(one, radius_of(similarity), hot)
-    labels = connected(edges)
+    one = checkpointed(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.xxhash64("doc_id").alias("kd"), "th")).alias("d")))
+    radius = radius_of(similarity - MARGIN)
+    near = connected(_met(one, radius, hot), broadcasts=False).toDF("n_node", "key")
+    members = checkpointed(one.join(near, F.col("node") == F.col("n_node")).select("key", "node", "fp", "d.kd", "d.th"))
+    labels = connected(_verified(docs, members, k, similarity, radius), broadcasts=False)
     joined = checkpointed(one.join(labels.toDF("l_node", "label"), F.col("node") == F.col("l_node"), "left").select("node", "least", F.coalesce("label", "node").alias("label")))
     best = checkpointed(joined.groupBy("label").agg(F.min("least").alias("component_id")).withColumnRenamed("label", "b_label"))
     classes = checkpointed(joined.join(best, F.col("label") == F.col("b_label")).select(F.col("node").alias("c_node"), "component_id"))

@@ -114,3 +114,41 @@ def test_tables_meet(spark):
     one = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(items)], "node long, fp binary")
     whole, cut = ({r.node: r.label for r in components.connected(neardup._met(one, 39, hot)).collect()} for hot in (20_000, 4))
     assert whole == cut and len({whole[i] for i in whole}) == 40 and len(whole) > 450
+
+
+@pytest.mark.parametrize("part", [1000, 6])
+def test_similarity_bands(spark, monkeypatch, part):
+    """Pairs of 0.8 and a little more are linked, those of less than 0.8 aren't, though their fingerprints are near."""
+    monkeypatch.setattr(neardup, "PART", part)
+    rnd = random.Random(8)
+    texts, want = {}, {}
+    for p in range(240):
+        w = [f"{p}w{rnd.getrandbits(40)}" for _ in range(404)]
+        edits = rnd.choice([3, 8, 9, 10, 11, 12, 14])
+        v = list(w)
+        for x in rnd.sample(range(4, 400, 5), edits):
+            v[x] = f"e{rnd.getrandbits(40)}"
+        texts[2 * p], texts[2 * p + 1] = " ".join(w), " ".join(v)
+    s = sets(texts)
+    for p in range(240):
+        a, b = s[2 * p], s[2 * p + 1]
+        want[p] = len(a & b) / len(a | b)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    comp = {r.doc_id: r.component_id for r in neardup.similar_groups(docs).collect()}
+    joined = {p for p in want if comp[2 * p] == comp[2 * p + 1]}
+    over, under = {p for p, j in want.items() if j >= 0.8}, {p for p, j in want.items() if j < 0.8}
+    assert len(over) > 40 and len(under) > 40
+    assert not joined & under
+    assert len(joined & over) >= 0.95 * len(over)
+
+
+def test_exact_components():
+    """A large group's links are those of all pairs that are alike."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets_ = [np.unique(np.concatenate([base[rng.random(60) < 0.93], rng.integers(0, 1 << 62, 3).astype(np.uint64)])) for _ in range(60)]
+    py = {i: set(x.tolist()) for i, x in enumerate(sets_)}
+    want = brute.components(py, lambda a, b: len(a & b) / len(a | b) >= 0.8)
+    ab = neardup.alike_links(np.arange(60), np.zeros((60, 4), np.uint64), sets_, 0.8, 256)
+    got = brute.components({i: i for i in range(60)}, lambda a, b: [min(a, b), max(a, b)] in ab.tolist())
+    assert got == want and 1 < len(set(want.values())) < 60
