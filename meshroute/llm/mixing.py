@@ -4,7 +4,9 @@ The schedule has equal-sized slots. Slot i stands at the fractional part of i ti
 point, and belongs to the source in whose share of the cumulative targets that point lies, so that any stretch of the
 schedule has every source in about its share. Each source's documents are shuffled by a hash and laid end to end in a
 circle, which blocks of one slot's size cut up: the r-th slot of a source takes words [r * block, (r + 1) * block) of
-its circle, in up to REPEATS rounds. Offsets are prefix sums over a fixed number of hash bins for each source; ranks
+its circle, in up to REPEATS rounds. A source takes round(target) words in all: its last slot may be cut short, and
+words that the schedule's slots leave over, as for a source with a target of less than a block, go to slots behind the
+schedule. Offsets are prefix sums over a fixed number of hash bins for each source; ranks
 of slots are prefix counts over chunks of the schedule.
 
 Targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share the sum of all sizes; a target stops
@@ -102,18 +104,19 @@ def plan_mix(docs: DataFrame, repeats: int = REPEATS, weights: dict | None = Non
     block = max(1, round(total / n))
     n = round(total / block)
     names = [b[0] for b in bounds]
-    table = spark.createDataFrame(pa.table({"name": pa.array(names, pa.string()), "sid": pa.array(range(len(names)), pa.int32()), "source_size": pa.array([sizes[s] for s in names], pa.int64()), "target": pa.array([targets[s] for s in names], pa.float64())}))
+    table = spark.createDataFrame(pa.table({"name": pa.array(names, pa.string()), "sid": pa.array(range(len(names)), pa.int32()), "source_size": pa.array([sizes[s] for s in names], pa.int64()), "target": pa.array([targets[s] for s in names], pa.float64()), "goal": pa.array([round(targets[s]) for s in names], pa.int64())}))
     rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("bin", F.pmod("h", F.lit(BINS)))
     sums = rows.groupBy("sid", "bin").agg(F.sum("size").alias("n"))
     before = sums.select(F.col("sid").alias("b_sid"), F.col("bin").alias("b_bin"), (F.sum("n").over(Window.partitionBy("sid").orderBy("bin")) - F.col("n")).alias("before"))
     inside = F.sum("size").over(Window.partitionBy("sid", "bin").orderBy("h", "doc_id", "th", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     rows = rows.withColumn("inside", inside).join(before, (F.col("sid") == F.col("b_sid")) & (F.col("bin") == F.col("b_bin")))
-    rows = checkpointed(rows.select("doc_id", "th", "source", "size", "source_size", "target", "sid", (F.col("before") + F.col("inside")).alias("offset"), F.monotonically_increasing_id().alias("rid")))
+    rows = checkpointed(rows.select("doc_id", "th", "source", "size", "source_size", "target", "goal", "sid", (F.col("before") + F.col("inside")).alias("offset"), F.monotonically_increasing_id().alias("rid")))
     # Where a document lies in its circle in each round, and the blocks it meets there.
-    laid = rows.where("size > 0").select("rid", "sid", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda k: k * F.col("source_size") + F.col("offset"))).alias("a"), (repeats * F.col("source_size")).alias("most"))
-    laid = laid.withColumn("z", F.col("a") + F.col("size"))
+    laid = rows.where("size > 0").select("rid", "sid", "size", "goal", F.explode(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda k: k * F.col("source_size") + F.col("offset"))).alias("a"), (repeats * F.col("source_size")).alias("most"))
+    laid = laid.withColumn("z", F.least(F.col("a") + F.col("size"), "goal")).where("a < z")
     met = laid.select("rid", "sid", "a", "z", F.explode(F.sequence(F.expr(f"a div {block}"), F.expr(f"(z - 1) div {block}"))).alias("k"))
-    got = met.join(_slots(spark, bounds, n).withColumnRenamed("sid", "s_sid"), (F.col("sid") == F.col("s_sid")) & (F.col("k") == F.col("rank")))
+    got = met.join(_slots(spark, bounds, n).withColumnRenamed("sid", "s_sid"), (F.col("sid") == F.col("s_sid")) & (F.col("k") == F.col("rank")), "left")
+    got = got.withColumn("slot", F.coalesce("slot", n + F.col("k") * len(names) + F.col("sid")))
     part = F.least("z", (F.col("k") + 1) * block) - F.greatest("a", F.col("k") * block)
     taken = got.groupBy(F.col("rid").alias("t_rid")).agg(F.sum(part).alias("taken"), F.min("slot").alias("slot"))
     out = rows.join(taken, F.col("rid") == F.col("t_rid"), "left").select("doc_id", "th", "source", "size", "source_size", "target", "sid", "offset", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "slot")

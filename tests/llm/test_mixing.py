@@ -56,3 +56,18 @@ def test_odd(spark):
     assert mixing.mix_documents(docs.limit(0)).count() == 0
     assert mixing.mixed_texts(docs.limit(0)).count() == 0
     assert mixing.mix_documents(docs.where("size(split(text, ' ')) < 2 or text is null")).count() >= 2
+
+
+def test_small_sources(spark):
+    """Sources with a target of less than a block get their words all the same."""
+    rows = [(i, f"w{i} " * 500, "a") for i in range(100)] + [(200 + i, f"v{i} " * 7, f"s{i:02}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = {i: t for i, t, _ in rows}
+    for slots in (8, 64, 1 << 16):
+        out = mixing.plan_mix(docs, slots=slots)[0].collect()
+        got, target = defaultdict(int), {}
+        for r in out:
+            assert r.taken <= 3 * r.size == 3 * len(brute.words(texts[r.doc_id])) and (r.slot is not None) == (r.taken > 0)
+            got[r.source] += r.taken
+            target[r.source] = r.target
+        assert {s: round(t) for s, t in target.items()} == got
