@@ -6,7 +6,8 @@ the compression ratio itself, goes through a logistic curve fitted on other labe
 probability of label 1.
 
 The fit learns from a bounded sample of labelled rows, chosen by a hash of their id: at most ``DICT_DOCS`` documents
-of each class for the dictionaries and ``FIT_DOCS`` others, in their natural mix, for the curve. Every row is scored
+of each class for the dictionaries, of whose blocks at most ``SAMPLE_BYTES`` of each class (15,625 blocks of 256 bytes,
+chosen by a hash of the block) are trained on, and ``FIT_DOCS`` others, in their natural mix, for the curve. Every row is scored
 over its whole text.
 
 Edge cases: empty and null texts get the share of label 1 among the rows of the curve; with no usable labels of
