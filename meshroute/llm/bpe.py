@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshroute.llm.common import map_arrow
 from meshroute.llm.cutting import cutter
 
 #: Entries after which a cache starts anew: bounds a worker's memory.
@@ -163,4 +164,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
             cols = [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=False))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), run, schema)

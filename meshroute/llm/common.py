@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Separators of words, as in the class [\x20\x09-\x0D] of the query contracts.
 SPACES = " \t\n\x0b\x0c\r"
@@ -17,10 +21,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master may do without it, as in tests."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="meshroute-checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -32,12 +38,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    import uuid
-
+    """A new path in the shared folder. Who asks for it may drop() it once nothing reads it any more."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a path of scratch_path()."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: How many bytes Spark hands to a Python worker at once: its own value, and the one that takes its place, as a worker
+#: has its share of an executor's memory only. A session with another value keeps it.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(4 << 20)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow() with batches of a bounded size."""
+    name, usual, small = BATCH
+    if df.sparkSession.conf.get(name) == usual:
+        df.sparkSession.conf.set(name, small)
+    return df.mapInArrow(run, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from: crc32 of the id as text leaves 0 modulo 5. A null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshroute.llm.common import checkpointed, held_out
+from meshroute.llm.common import checkpointed, held_out, map_arrow
 
 LENGTH = 400
 SHARE = 30_000
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, length: int = LENGTH) -> Profiles:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(grams) + 1)), pa.array(np.append(grams, -1)), pa.array(np.append(n, n.sum()))], ["lang", "gram", "n"])
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text")
-    sums = checkpointed(rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    sums = checkpointed(map_arrow(rows, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = sums.where("gram = -1").select(F.col("lang").alias("t_lang"), F.col("n").alias("total"))
     often = sums.where("gram <> -1").join(totals, F.col("lang") == F.col("t_lang")).where(F.col("n") * SHARE >= F.col("total")).select("lang", "gram", "n")
     by: dict[str, list] = {}
@@ -135,4 +135,4 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -4,14 +4,20 @@ Equal fingerprints are first reduced to one row. The 64 bits are cut into six bl
 in four bits or fewer agree in two blocks at least, so for each of the 15 pairs of blocks the fingerprints that agree
 in both form a shard. In a shard a BK-tree, whose children are keyed by their Hamming distance to the parent, is
 searched along the edges within the radius. A shard of more than HOT fingerprints is cut again in the same way
-along its other bits, which is exact for the same reason, so that no task holds an unbounded group. Members of a
-group found in a shard are linked in a chain; the chains of all shards give the components.
+along its other bits, which is exact for the same reason; where many fingerprints lie so close together that a shard
+still has more than HOT, it is cut into parts and each pair of parts is searched, so that all its pairs meet and no task
+holds an unbounded group. The members of a group found in a shard are linked with the least of them, and the links of
+all shards are reduced to about one for each fingerprint before they give the components.
 
 The trees stay with their shards: collecting them at the driver for a broadcast would grow with the corpus.
 
 Edge cases: a text without words (null, empty or blank) has fingerprint zero and is linked like any other; with
 fewer words than a shingle the whole sequence is one; repeated rows each get a row; of null ids the component is the
-least non-null one, or null; an empty table gives an empty result; columns other than doc_id and text are not read.
+least non-null one, or null; of a very long text the whole is read, 16,384 hashes of shingles at a time; an empty table
+gives an empty result; columns other than doc_id and text are not read, whatever their names. All this holds for
+similar_groups() and keep_one(), too: texts without words are one group, of which the least doc_id stays; rows equal in
+doc_id and text stay or go alike; rows of a null doc_id stay only where all of their group have none; other columns go
+through as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshroute.llm.common import checkpointed
+from meshroute.llm.common import checkpointed, map_arrow
 from meshroute.llm.components import connected
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -64,7 +70,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             fps = np.fromiter((simhash(shingle_hashes(t.as_py(), k)) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,19 +89,20 @@ class BKTree:
                 at = np.flatnonzero(far == d)
                 self.children[d] = BKTree(items[at], self.index[at])
 
-    def reach(self, asked: np.ndarray, radius: int, hit: np.ndarray) -> None:
-        """Sets hit[i] for each item within the radius of any of the fingerprints asked for."""
+    def reach(self, asked: np.ndarray, radius: int, left: np.ndarray) -> list[np.ndarray]:
+        """The places of the items within the radius of any of the fingerprints asked for, of those that are left."""
         if not self.children:
-            for i in range(0, len(asked), 4096):
-                near = _far(asked[i : i + 4096, None], self.items[None]) <= radius
-                hit[self.index[near.any(0)]] = True
-            return
+            at = left[self.index]
+            own, found = self.items[at], np.zeros(int(at.sum()), bool)
+            for i in range(0, len(asked) if len(own) else 0, 4096):
+                found |= (_far(asked[i : i + 4096, None], own[None]) <= radius).any(0)
+            return [self.index[at][found]]
         far = _far(asked, self.pivot)
-        if (far <= radius).any():
-            hit[self.index[0]] = True
+        out = [self.index[:1]] if left[self.index[0]] and (far <= radius).any() else []
         for d, child in self.children.items():
             if len(some := asked[np.abs(far - d) <= radius]):
-                child.reach(some, radius, hit)
+                out += child.reach(some, radius, left)
+        return out
 
 
 def groups(items: np.ndarray, radius: int = RADIUS) -> list[np.ndarray]:
@@ -111,9 +118,7 @@ def groups(items: np.ndarray, radius: int = RADIUS) -> list[np.ndarray]:
         left[i] = False
         members, front = [np.array([i])], np.array([i])
         while len(front):
-            hit = np.zeros(len(items), bool)
-            tree.reach(items[front], radius, hit)
-            front = np.flatnonzero(hit & left)
+            front = np.concatenate([np.zeros(0, np.int64), *tree.reach(items[front], radius, left)])
             left[front] = False
             members.append(front)
         if len(found := np.concatenate(members)) > 1:
@@ -121,9 +126,9 @@ def groups(items: np.ndarray, radius: int = RADIUS) -> list[np.ndarray]:
     return out
 
 
-def _chains(radius: int, words: int = 1, star: bool = False):
-    """Maps rows (key, node[, fingerprint of several words]), sorted by key, to chains of the groups of each key, or to
-    links of each group's least node with the others."""
+def _stars(radius: int, words: int = 1, rows: int = 100_000):
+    """Maps rows (key, node[, fingerprint of several words]), sorted by key, to links of the least node of each group of
+    each key with the others of the group."""
 
     def links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> list[np.ndarray]:
         cut = np.flatnonzero(np.diff(keys)) + 1
@@ -131,36 +136,41 @@ def _chains(radius: int, words: int = 1, star: bool = False):
         out = []
         for a, b in zip(*(x[ends - starts > 1].tolist() for x in (starts, ends)), strict=True):
             for g in groups(fps[a:b], radius):
-                chain = np.sort(nodes[a:b][g]) if star else nodes[a:b][g]
-                out.append(np.column_stack([np.repeat(chain[:1], len(chain) - 1) if star else chain[:-1], chain[1:]]))
+                star = np.sort(nodes[a:b][g])
+                out.append(np.column_stack([np.repeat(star[:1], len(star) - 1), star[1:]]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        done: list[tuple[np.ndarray, ...]] = []  # rows of keys that are complete
+        last: list[tuple[np.ndarray, ...]] = []  # rows of the key that may go on
 
-        def flush(last: bool) -> pa.RecordBatch:
-            keys, nodes, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-            n = len(keys) if last else int(np.searchsorted(keys, keys[-1]))  # the last key may go on
-            pairs = links(keys[:n], nodes[:n], fps[:n]) if n else []
-            held[:] = [(keys[n:], nodes[n:], fps[n:])]
+        def flush() -> pa.RecordBatch:
+            pairs = links(*(np.concatenate(x) for x in zip(*done, strict=True)))
+            done.clear()
             ab = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
         for batch in batches:
-            if batch.num_rows:
-                keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                fps = nodes.view(np.uint64) if words == 1 else np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, words)
-                held.append((keys, nodes, fps))
-                if sum(len(x[0]) for x in held) >= 100_000:
-                    yield flush(False)
-        if held:
-            yield flush(True)
+            if not batch.num_rows:
+                continue
+            keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fps = nodes.view(np.uint64) if words == 1 else np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, words)
+            if last and last[0][0][0] != keys[0]:
+                done, last = done + last, []
+            if n := int(np.searchsorted(keys, keys[-1])):
+                done, last = [*done, *last, (keys[:n], nodes[:n], fps[:n])], []
+            last.append((keys[n:], nodes[n:], fps[n:]))
+            if sum(len(x[0]) for x in done) >= rows:
+                yield flush()
+        done += last
+        if done:
+            yield flush()
 
     return run
 
 
 def _block_keys(fp: Column, cuts: list[int], level: Column) -> Column:
-    """For each choice of two blocks, the table's number and a key of their bits, and the bits left over."""
+    """For each choice of two blocks, the table's number and a key of their bits."""
     n = len(cuts) - 1
     value = [F.shiftrightunsigned(fp, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)) for i in range(n)]
     return F.array(*[F.struct(F.xxhash64(level, F.lit(i), F.lit(j), value[i], value[j]).alias("key"), F.lit(i * n + j).alias("t")) for i, j in combinations(range(n), 2)])
@@ -171,63 +181,65 @@ def _cuts(bits: int, n: int = BLOCKS) -> list[int]:
 
 
 def link(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """Chains (a, b) of the different fingerprints `fp` of prints; their components are those of all links."""
+    """Links (a, b) of the different fingerprints `node` of prints, whose components are those of all links."""
     if radius > BLOCKS - 2:
         raise ValueError(f"a radius over {BLOCKS - 2} takes more blocks")
-    keyed = prints.select("fp", F.explode(_block_keys(F.col("fp"), _cuts(64), F.lit(0))).alias("k")).select("fp", "k.key", "k.t")
-    size = keyed.groupBy("key").count().where(F.col("count") > hot).select(F.col("key").alias("hot_key"))
-    size = checkpointed(size)
-    parts = [keyed.select("key", "fp")]
+    keyed = prints.select("node", F.explode(_block_keys(F.col("node"), _cuts(64), F.lit(0))).alias("k")).select("node", "k.key", "k.t")
+    size = checkpointed(keyed.groupBy("key").count().where(F.col("count") > hot).select(F.col("key").alias("hot_key")))
+    rows = keyed.select("key", "node")
     if size.limit(1).count():
-        parts = [keyed.join(size, F.col("key") == F.col("hot_key"), "left_anti").select("key", "fp")]
-        over = keyed.join(size, F.col("key") == F.col("hot_key"))
-        edges, n = _cuts(64), BLOCKS
+        rows = keyed.join(size, F.col("key") == F.col("hot_key"), "left_anti").select("key", "node")
+        over = checkpointed(keyed.join(size, F.col("key") == F.col("hot_key")).drop("hot_key"))
+        edges, n, finer = _cuts(64), BLOCKS, None
         for i, j in combinations(range(n), 2):
             # The bits outside of blocks i and j, moved together.
             rest, at = F.lit(0).cast("long"), 0
             for b in range(n):
                 if b not in (i, j):
                     wide = edges[b + 1] - edges[b]
-                    rest = rest.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", edges[b]).bitwiseAND(F.lit((1 << wide) - 1)), at))
+                    rest = rest.bitwiseOR(F.shiftleft(F.shiftrightunsigned("node", edges[b]).bitwiseAND(F.lit((1 << wide) - 1)), at))
                     at += wide
-            finer = over.where(F.col("t") == i * n + j).select("fp", F.explode(_block_keys(rest, _cuts(at), F.col("key"))).alias("k"))
-            parts.append(finer.select("k.key", "fp"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    rows = rows.repartition("key").sortWithinPartitions("key", "fp")
-    return rows.mapInArrow(_chains(radius), "a long, b long")
+            part = over.where(F.col("t") == i * n + j).select("node", F.explode(_block_keys(rest, _cuts(at), F.col("key"))).alias("k")).select("k.key", "node")
+            finer = part if finer is None else finer.unionByName(part)
+        finer = checkpointed(finer)
+        rows = rows.unionByName(_dealt(finer, finer.groupBy("key").count(), hot))
+    return _rechained(map_arrow(rows.repartition("key").sortWithinPartitions("key", "node"), _stars(radius), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint and component_id for every row."""
     prints = checkpointed(fingerprints(docs, k))
-    one = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = connected(link(one, radius, hot))
-    joined = one.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    joined = checkpointed(joined)
-    best = joined.groupBy("label").agg(F.min("least").alias("component_id")).withColumnRenamed("label", "b_label")
-    classes = checkpointed(joined.join(checkpointed(best), F.col("label") == F.col("b_label")).select(F.col("fp").alias("c_fp"), "component_id"))
-    out = prints.join(classes, F.col("fp") == F.col("c_fp"))
+    one = checkpointed(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")))
+    out = prints.join(_classes(one, connected(link(one, radius, hot))), F.col("fp") == F.col("c_node"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _classes(one: DataFrame, labels: DataFrame) -> DataFrame:
+    """(c_node, component_id): the least `least` of the nodes of a label, for each node of one; nodes without a label stand
+    alone."""
+    labelled = one.join(labels.toDF("l_node", "label"), F.col("node") == F.col("l_node"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    labelled = checkpointed(labelled)
+    best = labelled.groupBy("label").agg(F.min("least").alias("component_id")).withColumnRenamed("label", "b_label")
+    return checkpointed(labelled.join(best, F.col("label") == F.col("b_label")).select(F.col("node").alias("c_node"), "component_id"))
+
+
 # ---- Near duplicates by a similarity of shingle sets, with wide fingerprints.
 
 WIDE = 4
 #: Bits of a key and number of tables. Neither follows the size of the corpus, as what share of pairs meet depends on both.
 BITS, TABLES = 16, 64
-#: Candidates are searched within the radius of a similarity less by MARGIN; PART is the most sets compared in one place.
-MARGIN, PART = 0.15, 1000
+#: Candidates are searched within the radius of a similarity less by MARGIN; sets with up to about PART members in all
+#: are compared in one place.
+MARGIN, PART = 0.15, 500_000
+BROADCAST = 10_000
 #: Links below a node of a group's tree: chains would take more rounds to label.
 FANOUT = 8
 _STREAMS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def wide_simhash(hashes: np.ndarray) -> bytes:
-    """A fingerprint of 256 bits over the different shingles, in four streams of mixed hashes."""
+    """A fingerprint of 256 bits over the hashes of different shingles, in four streams of mixed hashes."""
     ones = np.zeros(64 * WIDE, np.int64)
-    hashes = np.unique(hashes)
     for i in range(0, len(hashes), 1 << 13):
         x = (hashes[i : i + (1 << 13), None] ^ hashes[i : i + (1 << 13), None] >> np.uint64(31)) * _STREAMS
         x = (x ^ x >> np.uint64(29)) * _STREAMS[::-1]
@@ -257,15 +269,20 @@ def share_met(similarity: float, radius: int = 64 * WIDE) -> float:
 
 
 def _dealt(rows: DataFrame, size: DataFrame, hot: int) -> DataFrame:
-    """rows (key, node, ...), where each key of more than `hot` rows, which size (key, count) has, is cut into parts and
-    each pair of parts gets a key: all pairs of rows still meet, and no key has many more than `hot` rows."""
+    """rows (key, node, ...), where each key that counts more than `hot` by size (key, count) is cut into parts and each
+    pair of parts gets a key: all pairs of rows still meet, and no key counts much more than `hot`.
+
+    At most 1/hot of all that is counted are such keys; beyond BROADCAST of them the join is left to Spark.
+    """
     size = checkpointed(size.where(F.col("count") > hot).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") * 2 / hot).cast("int").alias("parts")))
-    if not size.limit(1).count():
+    n = size.limit(BROADCAST + 1).count()
+    if not n:
         return rows
+    size = F.broadcast(size) if n <= BROADCAST else size
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
     rest = [c for c in rows.columns if c != "key"]
-    return rows.join(F.broadcast(size), F.col("key") == F.col("hot_key"), "left").select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(pairs)).alias("key"), *rest)
+    return rows.join(size, F.col("key") == F.col("hot_key"), "left").select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(pairs)).alias("key"), *rest)
 
 
 def _tree_links(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +308,7 @@ def _rechained(stars: DataFrame) -> DataFrame:
             first, at = _tree_links(hubs)
             yield pa.RecordBatch.from_arrays([pa.array(np.where(first, hubs, nodes[at])), pa.array(nodes)], ["a", "b"])
 
-    return spokes.repartitionByRange("hub", "b").sortWithinPartitions("hub", "b").mapInArrow(run, "a long, b long")
+    return map_arrow(spokes.repartitionByRange("hub", "b").sortWithinPartitions("hub", "b"), run, "a long, b long")
 
 
 def _met(one: DataFrame, radius: int, hot: int) -> DataFrame:
@@ -314,9 +331,9 @@ def _met(one: DataFrame, radius: int, hot: int) -> DataFrame:
         return run
 
     prints = one.select("node", "fp")
-    size = prints.mapInArrow(spread(False), "key long").groupBy("key").count()
-    keyed = _dealt(prints.mapInArrow(spread(True), "key long, node long, fp binary"), size, hot)
-    return _rechained(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_chains(radius, WIDE, star=True), "a long, b long"))
+    size = map_arrow(prints, spread(False), "key long").groupBy("key").count()
+    keyed = _dealt(map_arrow(prints, spread(True), "key long, node long, fp binary"), size, hot)
+    return _rechained(map_arrow(keyed.repartition("key").sortWithinPartitions("key", "node"), _stars(radius, WIDE), "a long, b long"))
 
 
 def alike_links(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> np.ndarray:
@@ -340,7 +357,7 @@ def alike_links(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], simi
 
 
 def _verified(docs: DataFrame, members: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
-    """Links (a, b) of alike members (key, node, fp, kd, th): those of one key, by the sets of their documents' texts."""
+    """Links (a, b) of alike members (key, node, fp, n, kd, th): those of one key, by the sets of their documents' texts."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,28 +365,29 @@ def _verified(docs: DataFrame, members: DataFrame, k: int, similarity: float, ra
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["key", "node", "fp", "sh"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: dict[int, tuple[bytes, bytes]] = {}  # repeated rows count once
+        key = None
 
         def flush() -> pa.RecordBatch:
-            one = {x[1]: x for x in held}  # repeated rows count once
+            fps = np.frombuffer(b"".join(x[0] for x in held.values()), "<u8").reshape(-1, WIDE)
+            ab = alike_links(np.array(list(held), np.int64), fps, [np.frombuffer(x[1], np.uint64) for x in held.values()], similarity, radius)
             held.clear()
-            fps = np.frombuffer(b"".join(x[2] for x in one.values()), "<u8").reshape(-1, WIDE)
-            ab = alike_links(np.array(list(one), np.int64), fps, [np.frombuffer(x[3], np.uint64) for x in one.values()], similarity, radius)
             return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][0] != row[0]:
+            for own, node, fp, sh in zip(*batch.columns, strict=True):
+                if held and own.as_py() != key:
                     yield flush()
-                held.append(row)
+                key = own.as_py()
+                held[node.as_py()] = fp.as_py(), sh.as_py()
         if held:
             yield flush()
 
     texts = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("t_kd"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t_th"), "text")
     on = (F.col("kd") == F.col("t_kd")) & (F.col("th") == F.col("t_th"))
-    rows = texts.join(members, on).select("key", "node", "fp", "text").mapInArrow(shingled, "key long, node long, fp binary, sh binary")
-    dealt = _dealt(rows, members.groupBy("key").count(), PART)
-    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(compared, "a long, b long")
+    rows = map_arrow(texts.join(members, on).select("key", "node", "fp", "text"), shingled, "key long, node long, fp binary, sh binary")
+    dealt = _dealt(rows, members.groupBy("key").agg(F.sum("n").alias("count")), PART)
+    return map_arrow(dealt.repartition("key").sortWithinPartitions("key", "node"), compared, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
@@ -385,20 +403,21 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hot: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [wide_simhash(shingle_hashes(t.as_py(), k)) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary())], ["doc_id", "th", "fp"])
-
-    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp binary")
-    prints = checkpointed(prints.withColumn("node", F.xxhash64("fp")))
-    one = checkpointed(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.xxhash64("doc_id").alias("kd"), "th")).alias("d")))
+            fps, sizes = [], []
+            for t in batch.column(2):
+                hashes = np.unique(shingle_hashes(t.as_py(), k))
+                fps.append(wide_simhash(hashes))
+                sizes.append(len(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "th", "fp", "n"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    prints = checkpointed(map_arrow(own, run, "doc_id long, th long, fp binary, n long").withColumn("node", F.xxhash64("fp")))
+    one = checkpointed(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.xxhash64("doc_id").alias("kd"), "th", "n")).alias("d")))
     radius = radius_of(similarity - MARGIN)
     near = connected(_met(one, radius, hot), broadcasts=False).toDF("n_node", "key")
-    members = checkpointed(one.join(near, F.col("node") == F.col("n_node")).select("key", "node", "fp", "d.kd", "d.th"))
+    members = checkpointed(one.join(near, F.col("node") == F.col("n_node")).select("key", "node", "fp", "d.n", "d.kd", "d.th"))
     labels = connected(_verified(docs, members, k, similarity, radius), broadcasts=False)
-    joined = checkpointed(one.join(labels.toDF("l_node", "label"), F.col("node") == F.col("l_node"), "left").select("node", "least", F.coalesce("label", "node").alias("label")))
-    best = checkpointed(joined.groupBy("label").agg(F.min("least").alias("component_id")).withColumnRenamed("label", "b_label"))
-    classes = checkpointed(joined.join(best, F.col("label") == F.col("b_label")).select(F.col("node").alias("c_node"), "component_id"))
-    return prints.join(classes, F.col("node") == F.col("c_node")).select("doc_id", "th", "component_id")
+    return prints.join(_classes(one, labels), F.col("node") == F.col("c_node")).select("doc_id", "th", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshroute.llm.common import held_out
+from meshroute.llm.common import held_out, map_arrow
 
 DICT_DOCS, FIT_DOCS = 2000, 6000
 DICT_BYTES, SAMPLE_BYTES, BLOCK, LEVEL = 112_640, 4_000_000, 256, 3
@@ -165,7 +165,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -178,4 +178,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
             s = np.concatenate([model.score(batch.column(at).slice(i, 500).to_pylist()) for i in range(0, batch.num_rows, 500)] or [np.zeros(0)])
             yield batch.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -7,20 +7,26 @@ that equal windows meet. As very common pieces come last, they are the minimiser
 else, whose strings are the same in every document and are reduced to one before they travel; no bucket gathers the
 surroundings of a common passage.
 
-Each map task sends a string once to a bucket, with the least doc_id that has it. A bucket sorts its windows by a
-64-bit hash, compares the words themselves where hashes are equal, and finds for each window the least doc_id. It
-returns the strings that more than one document has or whose windows an earlier document has; the places of all
-strings are joined with these, and a window is removed where a smaller doc_id has it.
+Each map task sends a string once to a bucket, with the least doc_id that has it and how often it stands there. The
+number of buckets follows the size of the corpus, so that a bucket fits in little memory at any size. A bucket takes
+its minimisers in SUBS turns; in each it sorts the windows by a 64-bit hash, compares the words themselves where hashes
+are equal, and finds for each window the least doc_id. It returns the strings that more than one document has or whose
+windows an earlier document has; the places of all strings are joined with these, and a window is removed where a
+smaller doc_id has it. Strings with at least 1/HOT of the places of all that are returned, at most HOT, are broadcast
+for this join, so that no key gathers the places of a passage that many documents have.
 
 Edge cases: texts that are null or of fewer than SIZE words have no windows; equal doc_ids don't remove each other's
-words; a null doc_id counts as greater than all others; repeated rows are treated alike; an empty table gives an
-empty result; columns other than doc_id and text are not read.
+words; a null doc_id counts as greater than all others; repeated rows are treated alike, and their places are reduced
+to one before they are gathered; texts longer than SLICE characters are cut into strings a slice at a time, with
+slices that overlap by SIZE - 1 words, which gives the same windows; an empty table gives an empty result; columns
+other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +35,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshroute.llm.common import checkpointed
+from meshroute.llm.common import checkpointed, map_arrow
 
 SIZE, M, LONGEST = 50, 5, 128
+SLICE, PIECES_A_BUCKET, SUBS, HOT = 1 << 20, 250_000, 4, 4096
 CELLS, SHARES = 1 << 20, 1 << 15
 LAST_ID = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -39,6 +46,7 @@ _MUL = np.uint64(0xD6E8FEB86659FD93)
 _BYTES = np.random.default_rng(11).integers(1, 1 << 64, 256, np.uint64)
 _BYTES[32] = 0
 _powers = np.ones(1, np.uint64)
+_SPACE = re.compile("[\\x20\\x09-\\x0d]").search
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -82,10 +90,9 @@ def _joined(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class Words:
-    """The words of a few texts, single-spaced in one buffer, and hashes of their pieces. Short texts are left out."""
+    """The words of a few single-spaced texts in one buffer, and hashes of their pieces. Short texts are left out."""
 
-    def __init__(self, texts: list[str], size: int, m: int):
-        plain = [b" ".join(t.encode("utf-8", "surrogatepass").split()) for t in texts]
+    def __init__(self, plain: list[bytes], size: int, m: int):
         counts = np.array([p.count(b" ") + 1 for p in plain], np.int64)
         self.of = np.flatnonzero(counts >= size)  # which texts
         self.counts = counts[self.of]
@@ -102,12 +109,44 @@ class Words:
         self.window_text = np.where(text_of[: len(text_of) - size + 1] == text_of[size - 1 :], text_of[: len(text_of) - size + 1], -1)
 
 
+def _slices(text: str, size: int, most: int = SLICE) -> Iterator[tuple[int, bytes]]:
+    """A text single-spaced; of a long one, slices that overlap by size - 1 words, each with the place of its first word."""
+    if len(text) <= most:
+        yield 0, b" ".join(text.encode("utf-8", "surrogatepass").split())
+        return
+    at, first, kept = 0, 0, []
+    while at < len(text):
+        found = _SPACE(text, min(at + most, len(text)))
+        end = found.start() if found else len(text)
+        words = kept + text[at:end].encode("utf-8", "surrogatepass").split()
+        yield first, b" ".join(words)
+        kept = words[max(0, len(words) - size + 1) :]
+        first, at = first + len(words) - len(kept), end
+
+
+def _portions(texts: Iterable[str], size: int, most: int = SLICE) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """The row, first word and words of texts or slices of them, as many at a time as have about `most` bytes."""
+    rows, firsts, plain, n = [], [], [], 0
+    for row, text in enumerate(texts):
+        for first, words in _slices(text, size, most):
+            rows.append(row)
+            firsts.append(first)
+            plain.append(words)
+            n += len(words)
+            if n >= most:
+                yield rows, firsts, plain
+                rows, firsts, plain, n = [], [], [], 0
+    if rows:
+        yield rows, firsts, plain
+
+
 def _cell(pieces: np.ndarray) -> np.ndarray:
     return (pieces >> np.uint64(44)).astype(np.int64)
 
 
-def common_pieces(docs: DataFrame, size: int = SIZE, m: int = M) -> np.ndarray:
-    """For each of CELLS cells of pieces, 0 or the rank of its share of the corpus: 1 for 1/SHARES, 2 for twice that.
+def common_pieces(docs: DataFrame, size: int = SIZE, m: int = M) -> tuple[np.ndarray, int]:
+    """For each of CELLS cells of pieces, 0 or the rank of its share of the corpus: 1 for 1/SHARES, 2 for twice that;
+    and the number of all pieces.
 
     A task reports cells with half that share of its own pieces, at most 2 * SHARES; cells over the whole share, at
     most SHARES, reach the driver.
@@ -116,21 +155,22 @@ def common_pieces(docs: DataFrame, size: int = SIZE, m: int = M) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 100):
-                w = Words(batch.column(0).slice(i, 100).to_pylist(), size, m)
+            for _, _, plain in _portions((t.as_py() for t in batch.column(0)), size):
+                w = Words(plain, size, m)
                 if len(w.of):
                     n += np.bincount(_cell(w.pieces[w.piece_ok]), minlength=CELLS)
         if total := int(n.sum()):
             often = np.flatnonzero(n * 2 * SHARES >= total)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(often, -1)), pa.array(np.append(n[often], total))], ["cell", "n"])
 
-    sums = checkpointed(docs.where("text is not null").select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
+    counted = map_arrow(docs.where("text is not null").select("text"), count, "cell long, n long")
+    sums = checkpointed(counted.groupBy("cell").agg(F.sum("n").alias("n")))
     rank = np.zeros(CELLS, np.uint8)
-    total = sums.where("cell = -1").agg(F.max("n")).first()[0]
+    total = sums.where("cell = -1").agg(F.max("n")).first()[0] or 0
     if total:
         for cell, n in sums.where((F.col("cell") >= 0) & (F.col("n") * SHARES >= total)).select("cell", "n").collect():
             rank[cell] = 1 + int(np.log2(n * SHARES / total))
-    return rank
+    return rank, total
 
 
 def super_kmers(w: Words, rank: np.ndarray, size: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -151,44 +191,51 @@ def super_kmers(w: Words, rank: np.ndarray, size: int, m: int) -> tuple[np.ndarr
     return text[heads], ok[heads], np.diff(np.append(heads, len(ok))), key[heads]
 
 
-def _runs(texts: list[str], rank: np.ndarray, size: int, m: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+def _runs(texts: Iterable[str], rank: np.ndarray, size: int, m: int) -> Iterator[tuple[int, int, int, int, bytes]]:
     """Row, first window in its text, number of windows, minimiser and words of each super-k-mer."""
-    w = Words(texts, size, m)
-    if len(w.of):
-        text, first, n, key = super_kmers(w, rank, size, m)
-        a, b = w.starts[first], w.ends[first + n + size - 2]
-        for row, at, k, key_, i, j in zip(w.of[text].tolist(), (first - w.first[text]).tolist(), n.tolist(), key.tolist(), a.tolist(), b.tolist(), strict=True):
-            yield row, at, k, key_, w.data[i:j]
+    for rows, firsts, plain in _portions(texts, size):
+        w = Words(plain, size, m)
+        if len(w.of):
+            text, first, n, key = super_kmers(w, rank, size, m)
+            a, b = w.starts[first], w.ends[first + n + size - 2]
+            of = w.of[text]
+            row, at = np.array(rows)[of], first - w.first[text] + np.array(firsts)[of]
+            for row_, at_, k, key_, i, j in zip(row.tolist(), at.tolist(), n.tolist(), key.tolist(), a.tolist(), b.tolist(), strict=True):
+                yield row_, at_, k, key_, w.data[i:j]
+
+
+#: What is known of a string: the least doc_id that has it, whether others do, how often it stands somewhere, and which
+#: turn of its bucket it belongs to.
+Known = tuple[int, bool, int, int]
 
 
 def _bundle(rank: np.ndarray, buckets: int, size: int, m: int, flush: int = 24_000_000):
-    """Maps rows (doc_id, text) to rows (bucket, blob): the different strings of some texts with their least doc_id."""
+    """Maps rows (doc_id, text) to rows (bucket, blob): the different strings of some texts and what is known of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        held: dict[int, dict[bytes, tuple[int, bool]]] = {}
+        held: dict[int, dict[bytes, Known]] = {}
         weight = 0
 
+        def blob(strings: dict[bytes, Known]) -> bytes:
+            ids, many, n, sub = (np.array(x, t).tobytes() for x, t in zip(zip(*strings.values(), strict=True), ("<i8", "u1", "<u4", "u1"), strict=True))
+            return pack(len(strings).to_bytes(8, "little") + ids + n + many + sub + b"\n".join(strings))
+
         def out() -> pa.RecordBatch:
-            blobs = []
-            for strings in held.values():
-                ids = np.array([x[0] for x in strings.values()], "<i8").tobytes()
-                many = np.array([x[1] for x in strings.values()], np.uint8).tobytes()
-                blobs.append(pack(len(strings).to_bytes(8, "little") + ids + many + b"\n".join(strings)))
-            made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(map(blob, held.values()), pa.binary())], ["bucket", "blob"])
             held.clear()
             return made
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 100):
-                ids = batch.column(0).slice(i, 100).to_pylist()
-                for row, _, _, key, words in _runs(batch.column(1).slice(i, 100).to_pylist(), rank, size, m):
-                    strings, own = held.setdefault((key * 0x9E3779B1 >> 7) % buckets, {}), ids[row]
-                    if (old := strings.get(words)) is None:
-                        strings[words] = (own, False)
-                        weight += len(words) + 200
-                    elif old[0] != own:
-                        strings[words] = (min(old[0], own), True)
+            ids = batch.column(0).to_pylist()
+            for row, _, _, key, words in _runs((t.as_py() for t in batch.column(1)), rank, size, m):
+                mixed, own = key * 0x9E3779B97F4A7C15 >> 7 & (1 << 48) - 1, ids[row]
+                strings = held.setdefault(mixed % buckets, {})
+                if (old := strings.get(words)) is None:
+                    strings[words] = (own, False, 1, mixed // buckets % SUBS)
+                    weight += len(words) + 250
+                else:
+                    strings[words] = (min(old[0], own), old[1] or old[0] != own, old[2] + 1, old[3])
                 if weight > flush:
                     yield out()
                     weight = 0
@@ -198,10 +245,11 @@ def _bundle(rank: np.ndarray, buckets: int, size: int, m: int, flush: int = 24_0
     return run
 
 
-def judge(strings: dict[bytes, tuple[int, bool]], size: int) -> list[tuple[bytes, int, bytes | None]]:
+def judge(strings: dict[bytes, Known], size: int) -> list[tuple[bytes, int, bytes | None, int]]:
     """The strings that more than one document has, or whose windows an earlier document has.
 
-    With each: the least doc_id that has it, and a byte for each window, 1 if an earlier document has it (None: none).
+    With each: the least doc_id that has it, a byte for each window, 1 if an earlier document has it (None: none), and
+    how often it stands somewhere.
     """
     names = list(strings)
     least = np.array([strings[s][0] for s in names], np.int64)
@@ -238,7 +286,7 @@ def judge(strings: dict[bytes, tuple[int, bool]], size: int) -> list[tuple[bytes
                 for i, t in zip(members, texts, strict=True):
                     seen[i] = own[i] > best[t]
     any_ = np.add.reduceat(seen, offset[:-1], dtype=np.int64) > 0
-    return [(s, int(least[i]), seen[offset[i] : offset[i + 1]].tobytes() if any_[i] else None) for i, s in enumerate(names) if any_[i] or strings[s][1]]
+    return [(s, int(least[i]), seen[offset[i] : offset[i + 1]].tobytes() if any_[i] else None, strings[s][2]) for i, s in enumerate(names) if any_[i] or strings[s][1]]
 
 
 def _name(words: bytes) -> tuple[int, int]:
@@ -247,49 +295,59 @@ def _name(words: bytes) -> tuple[int, int]:
 
 
 def _judged(size: int):
+    """Maps rows (bucket, blob), sorted by bucket, to the strings that judge() finds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        strings: dict[bytes, tuple[int, bool]] = {}
+        turns: list[dict[bytes, Known]] = [{} for _ in range(SUBS)]
         bucket = None
 
-        def out() -> pa.RecordBatch:
-            found = judge(strings, size)
-            names = [_name(s) for s, _, _ in found]
-            strings.clear()
-            cols = [pa.array([n[0] for n in names], pa.int64()), pa.array([n[1] for n in names], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["k1", "k2", "first_id", "seen"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for strings in turns:
+                if strings:
+                    found = judge(strings, size)
+                    strings.clear()
+                    names = [_name(f[0]) for f in found]
+                    cols = [pa.array([n[0] for n in names], pa.int64()), pa.array([n[1] for n in names], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.binary()), pa.array([f[3] for f in found], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "first_id", "seen", "places"])
 
         for batch in batches:
             for own, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if own != bucket and strings:
-                    yield out()
+                if own != bucket:
+                    yield from out()
                 bucket = own
                 raw = unpack(blob.as_py())
                 n = int.from_bytes(raw[:8], "little")
-                ids, many = np.frombuffer(raw, "<i8", n, 8).tolist(), raw[8 + 8 * n : 8 + 9 * n]
-                for i, flag, words in zip(ids, many, raw[8 + 9 * n :].split(b"\n"), strict=True):
+                ids, count = np.frombuffer(raw, "<i8", n, 8).tolist(), np.frombuffer(raw, "<u4", n, 8 + 8 * n).tolist()
+                many, sub = raw[8 + 12 * n : 8 + 13 * n], raw[8 + 13 * n : 8 + 14 * n]
+                for i, flag, k, s, words in zip(ids, many, count, sub, raw[8 + 14 * n :].split(b"\n"), strict=True):
+                    strings = turns[s]
                     if (old := strings.get(words)) is None:
-                        strings[words] = (i, bool(flag))
+                        strings[words] = (i, bool(flag), k, s)
                     else:
-                        strings[words] = (min(old[0], i), bool(flag) or old[1] or old[0] != i)
-        if strings:
-            yield out()
+                        strings[words] = (min(old[0], i), bool(flag) or old[1] or old[0] != i, old[2] + k, s)
+        yield from out()
 
     return run
 
 
 def _places(rank: np.ndarray, size: int, m: int):
     """Maps rows (doc_id, text hash, text) to the places of their strings."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                few = batch.slice(i, 500)
-                ids, hashes = few.column(0).to_pylist(), few.column(1).to_pylist()
-                found = [(ids[row], hashes[row], at, n, *_name(words)) for row, at, n, _, words in _runs(few.column(2).to_pylist(), rank, size, m)]
-                cols = list(zip(*found, strict=True)) or [()] * 6
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "th", "at", "n", "p1", "p2"])
+            ids, hashes, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for row, at, n, _, words in _runs((t.as_py() for t in batch.column(2)), rank, size, m):
+                found.append((ids[row], hashes[row], at, n, *_name(words)))
+                if len(found) == 20_000:
+                    yield table(found)
+                    found = []
+            if found:
+                yield table(found)
+
+    def table(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["id", "th", "at", "n", "p1", "p2"])
 
     return run
 
@@ -300,15 +358,24 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, m: int = M) -> DataFrame
     spans are structs (at, n, seen): windows at, at + 1 .. at + n - 1, all of them or those with a 1 in seen.
     """
     rows = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
-    rank = common_pieces(docs, size, m)
-    buckets = 6 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blobs = rows.select("id", "text").mapInArrow(_bundle(rank, buckets, size, m), "bucket int, blob binary")
-    strings = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judged(size), "k1 long, k2 long, first_id long, seen binary")
+    rank, pieces = common_pieces(docs, size, m)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pieces // PIECES_A_BUCKET))
+    blobs = map_arrow(rows.select("id", "text"), _bundle(rank, buckets, size, m), "bucket long, blob binary")
+    strings = map_arrow(blobs.repartition("bucket").sortWithinPartitions("bucket"), _judged(size), "k1 long, k2 long, first_id long, seen binary, places long")
     strings = checkpointed(strings)
-    places = rows.select("id", "th", "text").mapInArrow(_places(rank, size, m), "id long, th long, at int, n int, p1 long, p2 long")
-    met = places.join(strings, (F.col("p1") == F.col("k1")) & (F.col("p2") == F.col("k2"))).where((F.col("id") > F.col("first_id")) | F.col("seen").isNotNull())
+    often = strings.agg(F.sum("places")).first()[0] or 0
+    hot = F.col("places") * HOT >= often
+    few = strings.where(hot).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.col("first_id").alias("h_first"), F.col("seen").alias("h_seen"))
+    places = map_arrow(rows.select("id", "th", "text"), _places(rank, size, m), "id long, th long, at long, n int, p1 long, p2 long")
+    places = places.join(F.broadcast(few), (F.col("p1") == F.col("h1")) & (F.col("p2") == F.col("h2")), "left")  # at most HOT strings
+    # A place whose string is known already goes anywhere: its key is a hash of its own.
+    known = F.col("h_first").isNotNull()
+    places = places.select("id", "th", "at", "n", "h_first", "h_seen", F.when(known, F.xxhash64("id", "th", "at")).otherwise(F.col("p1")).alias("p1"), F.when(known, F.xxhash64("at", "id", "th")).otherwise(F.col("p2")).alias("p2"))
+    met = places.join(strings.where(~hot), (F.col("p1") == F.col("k1")) & (F.col("p2") == F.col("k2")), "left")
+    met = met.select("id", "th", "at", "n", F.coalesce("h_first", "first_id").alias("first_id"), F.when(known, F.col("h_seen")).otherwise(F.col("seen")).alias("seen"))
+    met = met.where("first_id is not null").where((F.col("id") > F.col("first_id")) | F.col("seen").isNotNull())
     span = F.struct("at", "n", F.when(F.col("id") == F.col("first_id"), F.col("seen")).alias("seen"))
-    return met.groupBy("id", "th").agg(F.collect_list(span).alias("spans"))
+    return met.groupBy("id", "th").agg(F.collect_set(span).alias("spans"))
 
 
 def removed_words(n_words: int, spans: list[dict] | None, size: int) -> np.ndarray:
@@ -348,7 +415,7 @@ def dedup_digest(docs: DataFrame, size: int = SIZE, m: int = M) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size, m).select("doc_id", "text", "spans__")
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return map_arrow(rows, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_text(text: str, spans: list[dict], size: int) -> str:
@@ -376,5 +443,5 @@ def dedup_texts(docs: DataFrame, size: int = SIZE, m: int = M) -> DataFrame:
             cols = [pa.array(new, text.type) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = rows.mapInArrow(run, docs.schema)
+    out = map_arrow(rows, run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

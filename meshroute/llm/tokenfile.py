@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from meshroute.llm.common import map_arrow
 from meshroute.llm.cutting import USUAL, cutter, is_latin
 
 END = 0
@@ -209,7 +210,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, cut: str | None = US
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, FORMAT).write.parquet(path)
+    map_arrow(rows, run, FORMAT).write.parquet(path)
 
 
 def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -237,4 +238,4 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     kinds = ["doc_id long", "start long", "n_tokens long", "ids_crc32 long", "ids array<int>"][: 4 + with_ids]
-    return files.select("part", "first", "n_ids", "doc_ids", "lengths", "ranking", "control", "data").mapInArrow(run, ", ".join(kinds))
+    return map_arrow(files.select("part", "first", "n_ids", "doc_ids", "lengths", "ranking", "control", "data"), run, ", ".join(kinds))

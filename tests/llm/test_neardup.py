@@ -24,7 +24,7 @@ def test_links(spark, hot):
         values.append(rnd.choice(values) ^ sum(1 << x for x in rnd.sample(range(64), rnd.randint(1, 7))))
     keys = {as_signed(v): v for v in values}
     want = brute.components(keys, lambda a, b: (a ^ b).bit_count() <= 4)
-    links = neardup.link(spark.createDataFrame([(k,) for k in keys], "fp long"), hot=hot)
+    links = neardup.link(spark.createDataFrame([(k,) for k in keys], "node long"), hot=hot)
     got = {r.node: r.label for r in components.connected(links).collect()}
     assert {k: got.get(k, k) for k in keys} == want
 
@@ -76,25 +76,37 @@ def sets(texts):
 
 
 def test_similar(spark):
+    """All pairs of different texts: of those of 0.8 and more, the links themselves, not their chains, and none below."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    s = sets(texts)
-    alike = lambda a, b: len(a & b) / len(a | b)
-    by = {}
-    for i, x in s.items():
-        for g in x:
-            by.setdefault(g, []).append(i)
-    pairs = {}
-    for ids in by.values():
-        if len(ids) <= 40:
-            pairs |= {(a, b): alike(s[a], s[b]) for a in ids for b in ids if a < b and (a, b) not in pairs}
     comp = {r.doc_id: r.component_id for r in neardup.similar_groups(docs).collect()}
-    near = [p for p, j in pairs.items() if j >= 0.8]
-    assert sum(comp[a] == comp[b] for a, b in near) >= 0.9 * len(near)
-    best = {}
-    for (a, b), j in pairs.items():
-        best[a], best[b] = max(best.get(a, 0), j), max(best.get(b, 0), j)
-    assert not [i for i, c in comp.items() if c != i and best.get(i, 0) < 0.6]
+    own = {}
+    for i, s in sets(texts).items():
+        own.setdefault(frozenset(s), []).append(i)
+    firsts = {min(ids): s for s, ids in own.items()}
+    by_size = sorted(firsts, key=lambda i: len(firsts[i]))
+    near = []
+    for x, a in enumerate(by_size):
+        for b in by_size[x + 1 :]:
+            if 0.8 * len(firsts[b]) > len(firsts[a]):
+                break
+            both = len(firsts[a] & firsts[b])
+            if both >= 0.8 * (len(firsts[a]) + len(firsts[b]) - both):
+                near.append((a, b))
+    want = brute.components(dict.fromkeys(firsts), lambda a, b: False)
+    assert all(comp[i] == comp[min(ids)] for ids in own.values() for i in ids)
+    parent = dict(want)
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in near:
+        x, y = sorted((top(a), top(b)))
+        parent[y] = x
+    assert not [i for i in firsts if top(i) != top(comp[i])]  # no link below
+    assert sum(comp[a] == comp[b] for a, b in near) >= 0.95 * len(near) and near
     kept = {r.doc_id for r in neardup.keep_one(docs).collect()}
     assert kept == {i for i, c in comp.items() if c == i}
 
@@ -116,7 +128,7 @@ def test_tables_meet(spark):
     assert whole == cut and len({whole[i] for i in whole}) == 40 and len(whole) > 450
 
 
-@pytest.mark.parametrize("part", [1000, 6])
+@pytest.mark.parametrize("part", [500_000, 2400])
 def test_similarity_bands(spark, monkeypatch, part):
     """Pairs of 0.8 and a little more are linked, those of less than 0.8 aren't, though their fingerprints are near."""
     monkeypatch.setattr(neardup, "PART", part)
@@ -152,3 +164,30 @@ def test_exact_components():
     ab = neardup.alike_links(np.arange(60), np.zeros((60, 4), np.uint64), sets_, 0.8, 256)
     got = brute.components({i: i for i in range(60)}, lambda a, b: [min(a, b), max(a, b)] in ab.tolist())
     assert got == want and 1 < len(set(want.values())) < 60
+
+
+def test_large_groups(spark):
+    """A shard in which all lie so close together that no cut by blocks helps: by parts, with the same components."""
+    rnd = random.Random(11)
+    center = rnd.getrandbits(64)
+    values = {as_signed(center ^ sum(1 << x for x in rnd.sample(range(64), rnd.randint(0, 3)))) for _ in range(1500)}
+    got = {r.node: r.label for r in components.connected(neardup.link(spark.createDataFrame([(v,) for v in values], "node long"), hot=200)).collect()}
+    assert len(set(got.values())) == 1 and set(got) == values
+
+
+def test_stars_by_batches():
+    """Keys that go on over many batches give the same links as in one."""
+    import pyarrow as pa
+
+    rnd = random.Random(12)
+    rows = sorted((rnd.choice([1, 1, 1, 2, 3, 9]), as_signed(rnd.getrandbits(64) & 0xFF)) for _ in range(900))
+    rows = sorted(set(rows))
+    make = lambda part: pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64())], ["key", "node"])
+    links = lambda step: sorted(p for b in neardup._stars(1, rows=40)(iter([make(rows[i : i + step]) for i in range(0, len(rows), step)])) for p in zip(*b.to_pydict().values(), strict=True))
+    assert links(7) == links(10_000) and links(1) == links(10_000) and links(7)
+
+
+def test_groups_stay_whole(spark):
+    docs = spark.createDataFrame([(3, None, "a"), (1, " ", "b"), (7, "", "c"), (None, "p q r s t u", "d"), (8, "P q R s t u", "e"), (None, "alone of all", "f"), (9, "x", "g"), (9, "x", "h")], "doc_id long, text string, label string")
+    assert sorted(r.label for r in neardup.keep_one(docs).collect()) == ["b", "e", "f", "g", "h"]
+    assert neardup.keep_one(docs.limit(0)).count() == 0 and neardup.keep_one(docs).columns == docs.columns
