@@ -25,7 +25,7 @@ from meshroute.llm.common import map_arrow
 from meshroute.llm.cutting import cutter
 
 #: Entries after which a cache starts anew: bounds a worker's memory.
-PIECES, PAIRS = 800_000, 1_000_000
+PIECES, PAIRS = 250_000, 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
