@@ -85,3 +85,56 @@ def removed(docs, size=50):
         gone = {k for j in range(len(w) - size + 1) if first[tuple(w[j : j + size])] < i for k in range(j, j + size)}
         out[i] = (len(w), len(gone), [x for k, x in enumerate(w) if k not in gone])
     return out
+
+
+def mix_weights(sources):
+    """1, 2, 3, repeating, in the order of code points, null last."""
+    order = sorted(s for s in sources if s is not None) + [None] * (None in sources)
+    return {s: 1 + i % 3 for i, s in enumerate(order)}
+
+
+def mix_targets(sizes, weights, repeats=3):
+    """Shares of the whole by weight, capped at `repeats` times a source's size."""
+    out, free, left = {}, dict(sizes), float(sum(sizes.values()))
+    while free:
+        total = sum(weights[s] for s in free)
+        full = [s for s in free if left * weights[s] / total > repeats * sizes[s]]
+        if not full:
+            return out | {s: left * weights[s] / total for s in free}
+        for s in full:
+            out[s] = float(repeats * sizes[s])
+            left -= out[s]
+            del free[s]
+    return out
+
+
+def mix_taken(rows, targets, slots, golden=2654435769, repeats=3):
+    """rows: (key, source, size, order), the order that of the circles. Words taken and the first slot of each key."""
+    total = sum(r[2] for r in rows)
+    names = sorted((s for s in targets if s is not None)) + [None] * (None in targets)
+    goals = {s: int(targets[s] + 0.5) for s in names}
+    n = max(1, min(total, max(slots, -(-total // (1 << 16)))))
+    block = max(1, round(total / n))
+    n = round(total / block)
+    ends, at = [], 0
+    for s in names:
+        at += goals[s]
+        ends.append(int(at / max(sum(goals.values()), 1) * (1 << 32)))
+    owned = {s: [] for s in names}
+    for i in range(n):
+        u = i * golden % (1 << 32)
+        hit = [s for s, e in zip(names, ends, strict=True) if u < e]
+        if hit:
+            owned[hit[0]].append(i)
+    taken, first = Counter(), {}
+    for k, s in enumerate(names):
+        circle = sorted((r for r in rows if r[1] == s and r[2]), key=lambda r: r[3])
+        at = 0
+        for r in circle * repeats:
+            for w in range(at, min(at + r[2], goals[s])):
+                b = w // block
+                slot = owned[s][b] if b < len(owned[s]) else n + b * len(names) + k
+                taken[r[0]] += 1
+                first[r[0]] = min(first.get(r[0], slot), slot)
+            at += r[2]
+    return taken, first
