@@ -4,13 +4,13 @@ A profile is the list of the most frequent n-grams (one to three letters, word e
 A document goes to the language whose profile has the least out-of-place distance: the summed differences of ranks,
 with the profile's length for an n-gram that the language lacks.
 
-All training rows count. Their n-grams are summed in Spark; to the driver go only n-grams that make up at least
-1/SHARE of a language's, of which there are at most SHARE for each language.
+All training rows count. Their n-grams are summed in Spark, which ranks them within each language; only the LENGTH
+first of each language reach the driver. There may be at most MOST_LANGUAGES, an error beyond that: profiles are broadcast.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, as is any text if nothing was learned;
-ties between languages go to the smaller name, ties in frequency to the
-n-gram that some language ranks higher, then to the smaller; repeated rows count each;
-columns other than doc_id, text and lang are not read.
+ties between languages go to the smaller name, ties in frequency to the n-gram that some language ranks higher, in a
+profile or if none does to the smaller; repeated rows count each; of a very long text all n-grams count; a language none
+of whose rows has a letter isn't learned; columns other than doc_id, text and lang are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshroute.llm.common import checkpointed, held_out, map_arrow
 
 LENGTH = 400
-SHARE = 30_000
+MOST_LANGUAGES = 10_000
 Profiles = dict[str, np.ndarray]
 
 
@@ -113,16 +113,19 @@ def fit(docs: DataFrame, length: int = LENGTH) -> Profiles:
                     size[lang] = 0
         for lang, parts in held.items():
             grams, n = _summed(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(grams) + 1)), pa.array(np.append(grams, -1)), pa.array(np.append(n, n.sum()))], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text")
     sums = checkpointed(map_arrow(rows, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    totals = sums.where("gram = -1").select(F.col("lang").alias("t_lang"), F.col("n").alias("total"))
-    often = sums.where("gram <> -1").join(totals, F.col("lang") == F.col("t_lang")).where(F.col("n") * SHARE >= F.col("total")).select("lang", "gram", "n")
+    if sums.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # Spark cuts each task's rows to the first of each language before it shuffles them.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    first = sums.withColumn("place", place).where(F.col("place") <= length).select("lang", "place", "gram")
     by: dict[str, list] = {}
-    for lang, gram, n in often.collect():
-        by.setdefault(lang, []).append((-n, gram))
-    return {lang: np.array([g for _, g in sorted(x)[:length]], np.int64) for lang, x in by.items()}
+    for lang, at, gram in first.collect():  # length rows for each language
+        by.setdefault(lang, []).append((at, gram))
+    return {lang: np.array([g for _, g in sorted(x)], np.int64) for lang, x in by.items()}
 
 
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:

@@ -7,12 +7,15 @@ probability of label 1.
 
 The fit learns from a bounded sample of labelled rows, chosen by a hash of their id: at most ``DICT_DOCS`` documents
 of each class for the dictionaries, of whose blocks at most ``SAMPLE_BYTES`` of each class (15,625 blocks of 256 bytes,
-chosen by a hash of the block) are trained on, and ``FIT_DOCS`` others, in their natural mix, for the curve. Every row is scored
-over its whole text.
+chosen by a hash of the block) are trained on, and ``FIT_DOCS`` others, in their natural mix, for the curve; where
+several rows have such an id, the one whose text has the least hash. The sample is written to the shared folder once,
+so that the corpus is read once for it. Every row is scored over its whole text.
 
 Edge cases: empty and null texts get the share of label 1 among the rows of the curve; with no usable labels of
 either class every score is 0.5; labels that are null, other than 0 and 1, or of a null id are ignored, of several
-for an id the least counts; repeated rows are scored each; other columns are not read.
+for an id the least counts; repeated rows are scored each; very long texts are compressed block by block; a score of exactly
+the threshold counts as good; other columns are not read, whatever their names, and keep_good() hands
+them on as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshroute.llm.common import held_out, map_arrow
+from meshroute.llm.common import checkpointed, held_out, map_arrow
 
 DICT_DOCS, FIT_DOCS = 2000, 6000
 DICT_BYTES, SAMPLE_BYTES, BLOCK, LEVEL = 112_640, 4_000_000, 256, 3
@@ -130,14 +133,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not picked:
         return model
     ids = spark.createDataFrame(pa.table({"l_id": pa.array(picked, pa.int64()), "quality": pa.array([v[0] for v in picked.values()], pa.int32()), "for_dict": [v[1] for v in picked.values()]}))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("l_id"))  # 10,000 ids at most
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), F.col("doc_id") == F.col("l_id"))  # 10,000 ids at most
+    rows = checkpointed(rows.groupBy("l_id", "quality", "for_dict").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(q, b) for t, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for b in blocks(t)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["quality", "block"])
 
-    cuts = rows.where("for_dict and text is not null").select("text", "quality").mapInArrow(cut, "quality int, block binary")
+    cuts = map_arrow(rows.where("for_dict").select("text", "quality"), cut, "quality int, block binary")
     samples = {q: [bytes(r[0]) for r in cuts.where(F.col("quality") == q).orderBy(F.xxhash64("block"), "block").limit(SAMPLE_BYTES // BLOCK).select("block").collect()] for q in (0, 1)}
     if not samples[0] or not samples[1]:
         return model
@@ -148,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             x = [model.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(pa.array([v[i] for v in x], pa.float64()) for i in range(3)), batch.column(1)], ["a", "b", "c", "quality"])
 
-    seen = rows.where("not for_dict and text <> ''").select("text", "quality").mapInArrow(measure, "a double, b double, c double, quality int").collect()
+    seen = map_arrow(rows.where("not for_dict and text <> ''").select("text", "quality"), measure, "a double, b double, c double, quality int").collect()  # FIT_DOCS rows at most
     if seen:
         y = np.array([r[3] for r in seen], float)
         model.prior = float(y.mean())

@@ -9,11 +9,12 @@ of 256 rows gives the lengths of four ids for each control byte.
 
 Words repeat, so each worker keeps the ids of pieces of text it has seen; a piece is cut by the tokenizer's own
 pattern, which its merges never cross. Texts for which the cuts of the two pattern engines could differ are encoded
-whole.
+whole, as are texts that hold the text of an added token, such as a mark of a text's end: the library makes one id of it.
 
 Edge cases: a null text is an empty one and has only the end id; null doc_ids come first; rows of one doc_id stand in
-the order of their texts; an empty table gives an empty folder of files and an empty result; other columns are not
-read. No document is cut; a block ends after the document with which it passes its target size.
+the order of a hash of their texts, and many of them may be dealt to several files; an empty table gives an empty folder
+of files and an empty result; other columns are not read, whatever their names. No document is cut, however long; a
+block ends after the document with which it passes its target size.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ class PieceEncoder:
     def __init__(self, path: str, cut: str | None = USUAL):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut, self.usual = cutter(cut) if cut else None, cut == USUAL
         # A token's text has a letter for each byte.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -96,7 +97,7 @@ class PieceEncoder:
         new = self.places.new
         starts, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
         plain = np.fromiter((p[0] == " " and p[1:].isalpha() for p in new), bool, len(new))
-        if not self.usual:
+        if not self.usual or any(all(c == " " or c.isalpha() for c in t) for t in self.added):
             plain[:] = False
         for at in _parts(np.flatnonzero(plain), 4096):
             pieces = [new[i] for i in at]
@@ -113,13 +114,14 @@ class PieceEncoder:
         new.clear()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Beyond Latin letters engines may know different classes: such texts go in whole."""
+        """The ids of each text. Beyond Latin letters engines may know different classes, and added tokens are cut out of a
+        text before its pieces are: such texts go in whole."""
         if self.cut is None:
             return [np.array(ids, np.uint32) for ids in self._encode(texts)]
         if len(self.places) >= PIECES:
             self._clear()
         place = self.places.__getitem__
-        placed = [np.fromiter(map(place, self.cut(t)), np.int64) if is_latin(t) else None for t in texts]
+        placed = [np.fromiter(map(place, self.cut(t)), np.int64) if is_latin(t) and not any(x in t for x in self.added) else None for t in texts]
         if self.places.new:
             self._learn()
         out = []
@@ -208,8 +210,9 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, cut: str | None = US
         if held:
             yield block()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("salt"))
+    rows = rows.repartitionByRange("doc_id", "th", "salt").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
     map_arrow(rows, run, FORMAT).write.parquet(path)
 
 

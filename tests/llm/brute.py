@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -54,6 +55,62 @@ def simhash4(t):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def xx(seed, *values):
+    """Spark's xxhash64 of numbers of 4 or 8 bytes; (value, bytes), None is left out."""
+    for v, n in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest((v % (1 << 8 * n)).to_bytes(n, "little"), seed)
+    return seed
+
+
+def shards(docs, point, n_shards, vnodes, bins, seed=0):
+    """docs: (id, text). (id, size, crc32, shard, slot) of each, one row after the other: bins in shuffled order, each row to
+    the first shard with room at or after its bin."""
+    rows = []
+    for i, t in docs:
+        raw = (t or "").encode()
+        h = xx(42, (seed, 4), (i, 8), (zlib.crc32(raw), 8))
+        h -= (h >> 63) << 64
+        rows.append((point(f"{seed}:{h % bins}", 1 << 62), h % bins, h, i is not None, i or 0, zlib.crc32(raw), len(raw) + 8, i))
+    ring = sorted((point(f"{seed}/{s}/{v}", bins), point(f"{seed}/{s}/{v}/tie", 1 << 62), s) for s in range(n_shards) for v in range(vnodes))
+    room = [len(rows) // n_shards + (s < len(rows) % n_shards) for s in range(n_shards)]
+    used, out = Counter(), []
+    for _, b, _, _, _, crc, size, i in sorted(rows, key=lambda r: r[:7]):
+        at = next((k for k, p in enumerate(ring) if p[0] >= b), 0)
+        while used[ring[at % len(ring)][2]] == room[ring[at % len(ring)][2]]:
+            at += 1
+        s = ring[at % len(ring)][2]
+        out.append((i, size, crc, s, used[s]))
+        used[s] += 1
+    return out
+
+
+def profile_grams(t):
+    """n-grams of one to three letters with marked ends of words, as strings, and their counts."""
+    out = Counter()
+    for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split(" "):
+        if w:
+            out.update(w)
+            p = "\x01" + w + "\x01"
+            out.update(p[i : i + n] for n in (2, 3) for i in range(len(p) - n + 1))
+    return out
+
+
+def rank_language(t, profiles, length):
+    """profiles: name -> n-grams in order. The language of the least out-of-place distance, and its score."""
+    n = profile_grams(t)
+    if not n or not profiles:
+        return "und", 0.0
+    usual = {}
+    for p in profiles.values():
+        for r, g in enumerate(p):
+            usual[g] = min(usual.get(g, length), r)
+    number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    own = sorted(n, key=lambda g: (-n[g], usual.get(g, length), number(g)))[:length]
+    best = min((sum(abs(p.index(g) - i) if g in p else length for i, g in enumerate(own)), name) for name, p in ((k, list(v)) for k, v in profiles.items()))
+    return best[1], 1 - best[0] / (len(own) * length)
+
+
 def components(keys, linked):
     """keys: id -> value; linked(a, b) of two values. The least id of each id's component."""
     parent = {k: k for k in keys}

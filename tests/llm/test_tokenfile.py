@@ -11,7 +11,6 @@ from meshroute.llm import cutting, tokenfile
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 THEIRS = Tokenizer.from_file(PATH)
-THEIRS.encode_special_tokens = True
 OURS = tokenfile.encoder(PATH)
 
 
@@ -32,6 +31,25 @@ def test_pieces(text):
     assert OURS.encode([text])[0].tolist() == THEIRS.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", " ", "a", "<|", "|>", "é", "中", "<|endoftext|", "The cat", "\n"]), max_size=9))
+def test_added_tokens(parts):
+    """The mark of a text's end becomes the library's one id."""
+    text = "".join(parts)
+    assert OURS.encode([text, "b " + text])[0].tolist() == THEIRS.encode(text, add_special_tokens=False).ids
+
+
+def test_one_hot_id(spark, tmp_path):
+    """Rows of one id, and rows equal in all, go to several files, in order all the same."""
+    docs = spark.createDataFrame([(5, f"t{i % 400 if i % 2 else 0}") for i in range(4000)], "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tokenfile.write_files(docs, f"{tmp_path}/c", PATH)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(f"{tmp_path}/c").select("part").distinct().count() > 1
+    got = sorted((r.start, r.n_tokens) for r in tokenfile.read_files(spark, f"{tmp_path}/c").collect())
+    assert len(got) == 4000 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:], strict=False))
+
+
 def test_latin_letters():
     text = " ".join(map(chr, range(0x250))) + "".join(map(chr, range(0x250)))
     assert OURS.encode([text])[0].tolist() == THEIRS.encode(text, add_special_tokens=False).ids
