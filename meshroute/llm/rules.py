@@ -1,34 +1,44 @@
 """Quality rules with adaptive thresholds, by DataFrame functions only.
 
 Each text is measured once: symbols by letters, upper-case letters by letters, repeated lines by lines, words in
-repeated five-word windows by words, and the mean length of a word. Mergeable quantile summaries (Greenwald-Khanna,
-as in percentile_approx) of each measure are kept for every language and source, and for every language; their
-quartiles give the fences outside of which a document is dropped: SPREAD interquartile ranges beyond the quartiles,
-and a slack for measures that hardly vary. A group of fewer than MIN_GROUP documents takes its language's fences.
+repeated five-word windows by words, and the mean length of a word. A quantile sketch of each measure is kept for every
+language and source: counts of buckets whose bounds grow by GROWTH, so that a quantile is at most half of that off. Sketches
+are merged by adding counts, in any order with the same result, and those of a language are the sums of its sources'.
+Only documents that pass the base rule count in them.
+
+Fences come from the sketches, and a document outside of any is dropped. A measure that most documents share in (QUARTILES)
+has them SPREAD interquartile ranges beyond the quartiles; one that is nought in most (TAIL) has one as far beyond the 99th
+percentile as that lies beyond the third quartile. Both get a small slack, as a measure may be the same in all documents.
+A source's fences are drawn towards its language's by SHRINK documents' weight: with n documents they count n parts of
+n + SHRINK, so that no size makes a rule change at once.
 
 Edge cases: null and blank texts have no words and fail the base rule; a null language or source is a group like any
-other; repeated rows count each; an empty table gives an empty result; columns other than doc_id, text, lang and
-source are not read. Windows are compared by the chained 64-bit hash of their words.
+other; repeated rows count each; equal values have one bucket, and a value on a fence is inside; a group none of whose
+documents pass the base rule needs no fences; a very long text is measured as a whole, in one row; an empty table gives
+an empty result; columns other than doc_id, text, lang and source are not read, whatever their names. Windows are
+compared by the chained 64-bit hash of their words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshroute.llm.common import SPACES, checkpointed, native_words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-SPREAD, MIN_GROUP, ACCURACY = 3.0, 50, 1000
-#: Measure: (slack below, slack above); None where only the upper side counts.
-MEASURES: dict[str, tuple[float | None, float]] = {
-    "symbol_ratio": (None, 0.03),
-    "upper_ratio": (None, 0.10),
-    "dup_line_ratio": (None, 0.50),
-    "repeat_ratio": (None, 0.20),
-    "mean_word": (2.5, 3.0),
+SPREAD, SHRINK, GROWTH = 3.0, 200, 1.01
+QUARTILES, TAIL = "quartiles", "tail"
+#: Measure: how its fences are found, its slack, and whether there is a fence below, too.
+MEASURES: dict[str, tuple[str, float, bool]] = {
+    "symbol_ratio": (QUARTILES, 0.02, False),
+    "upper_ratio": (QUARTILES, 0.05, False),
+    "dup_line_ratio": (TAIL, 0.02, False),
+    "repeat_ratio": (TAIL, 0.02, False),
+    "mean_word": (QUARTILES, 1.0, True),
 }
+LEVELS = (0.25, 0.75, 0.99)
 
 
 def _windows(w: Column, n: Column, k: int = WINDOW) -> Column:
@@ -75,31 +85,46 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def fences(measured: DataFrame, by: list[str]) -> DataFrame:
-    """Low and high fences of every measure for each group, from rows with ten words or more."""
-    quartiles = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), F.lit(ACCURACY)).alias(m) for m in MEASURES]
-    groups = measured.where("n_words >= 10").groupBy(*by).agg(F.count("*").alias("members"), *quartiles)
+def sketches(measured: DataFrame) -> DataFrame:
+    """(lang, source, m, b, n): how many documents that pass the base rule have measure m in bucket b. Nought has the least
+    bucket; counts are combined before they are shuffled."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("v")) for m in MEASURES])).alias("x")
+    rows = measured.where("not base_failed").select("lang", "source", each)
+    bucket = F.when(F.col("x.v") > 0, F.ceil(F.log("x.v") / F.log(F.lit(GROWTH)))).otherwise(F.lit(-(1 << 40))).cast("long")
+    return rows.groupBy("lang", "source", F.col("x.m").alias("m"), bucket.alias("b")).agg(F.count("*").alias("n"))
+
+
+def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """of_<by>, members, and the fences <measure>_high and, where there is one, <measure>_low for each group."""
+    sums = sketch.groupBy(*by, "m", "b").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy(*by, "m")
+    ranked = sums.withColumn("members", F.sum("n").over(own)).withColumn("upto", F.sum("n").over(own.orderBy("b")))
+    value = F.when(F.col("b") > -(1 << 40), 2 * F.pow(F.lit(GROWTH), F.col("b")) / (1 + GROWTH)).otherwise(F.lit(0.0))
+    at = lambda m, q: F.min(F.when((F.col("m") == m) & (F.col("upto") >= F.lit(q) * F.col("members")), value))
+    found = ranked.groupBy(*by).agg(F.max("members").alias("members"), *[at(m, q).alias(f"{m}_{q}") for m in MEASURES for q in LEVELS])
     cols = []
-    for m, (below, above) in MEASURES.items():
-        q1, q3 = F.col(m)[0], F.col(m)[1]
-        cols.append((q3 + SPREAD * (q3 - q1) + above).alias(f"{m}_high"))
-        if below is not None:
-            cols.append((q1 - SPREAD * (q3 - q1) - below).alias(f"{m}_low"))
-    return groups.select(*[F.col(b).alias(f"of_{b}") for b in by], "members", *cols)
+    for m, (kind, slack, below) in MEASURES.items():
+        q1, q3, top = (F.col(f"`{m}_{q}`") for q in LEVELS)
+        cols.append((q3 + SPREAD * (q3 - q1) + slack if kind == QUARTILES else top + (top - q3) + slack).alias(f"{m}_high"))
+        if below:
+            cols.append((q1 - SPREAD * (q3 - q1) - slack).alias(f"{m}_low"))
+    return found.select(*[F.col(b).alias(f"of_{b}") for b in by], "members", *cols)
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed and kept for every row, then the measures."""
     measured = checkpointed(measure(docs))
-    own = fences(measured, ["lang", "source"])
-    wide = fences(measured, ["lang"]).withColumnRenamed("of_lang", "w_lang").drop("members")
+    sketch = checkpointed(sketches(measured))
+    own = fences(sketch, ["lang", "source"])
+    wide = fences(sketch, ["lang"]).withColumnRenamed("of_lang", "w_lang").drop("members")
     names = [c for c in wide.columns if c != "w_lang"]
-    both = own.join(wide.toDF("w_lang", *[f"w_{c}" for c in names]), F.col("of_lang").eqNullSafe(F.col("w_lang")), "left")
-    both = both.select("of_lang", "of_source", *[F.when(F.col("members") >= MIN_GROUP, F.col(c)).otherwise(F.col(f"w_{c}")).alias(c) for c in names])
+    both = own.join(wide.toDF("w_lang", *[f"w_{c}" for c in names]), F.col("of_lang").eqNullSafe(F.col("w_lang")))
+    drawn = lambda c: (F.col("members") * F.col(c) + SHRINK * F.col(f"w_{c}")) / (F.col("members") + SHRINK)
+    both = both.select("of_lang", "of_source", *[drawn(c).alias(c) for c in names])
     out = measured.join(both, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     ok = ~F.col("base_failed")
-    for m, (below, _) in MEASURES.items():
+    for m, (_, _, below) in MEASURES.items():
         ok &= F.coalesce(F.col(m) <= F.col(f"{m}_high"), F.lit(False))
-        if below is not None:
+        if below:
             ok &= F.coalesce(F.col(m) >= F.col(f"{m}_low"), F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", ok.alias("kept"), *MEASURES)

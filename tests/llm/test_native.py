@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter, defaultdict
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -42,21 +46,83 @@ def test_fingerprints(spark, times):
         r = got[3 * i]
         assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (n, sha, prints[i], brute.simhash3(text))
         assert r.near_next == 1 - bin(int(prints[i], 16) ^ int(prints[(i + 1) % len(want)], 16)).count("1") / 64
+        other = {int(p, 16) for p in prints} - {int(prints[i], 16)}
+        assert r.n_near == sum((p ^ int(prints[i], 16)).bit_count() <= 3 for p in other)
     assert fingerprints.fingerprint_documents(docs.limit(0)).count() == 0
     assert fingerprints.fingerprint_documents(docs.where("doc_id = 9")).count() == 1
 
 
-def test_near_pairs(spark):
-    import random
-
+@pytest.mark.parametrize("radius,hot", [(3, 1000), (3, 8), (2, 8), (5, 30)])
+def test_near(spark, radius, hot):
     rnd = random.Random(3)
     base = [rnd.getrandbits(64) for _ in range(40)]
     values = base + [b ^ sum(1 << x for x in rnd.sample(range(64), rnd.randint(1, 6))) for b in base for _ in range(4)]
+    values += [base[0] ^ sum(1 << x for x in rnd.sample(range(64), rnd.randint(0, 2))) for _ in range(120)]
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    got = {(r.a, r.b): r.distance for r in fingerprints.near_pairs(spark.createDataFrame([(v,) for v in signed + [None, signed[0]]], "fp long")).collect()}
+    table = spark.createDataFrame([(v,) for v in signed + [None, signed[0]]], "fp long")
     want = {}
     for x in set(signed):
         for y in set(signed):
-            if x < y and (n := bin((x ^ y) & (1 << 64) - 1).count("1")) <= 3:
+            if x < y and (n := bin((x ^ y) & (1 << 64) - 1).count("1")) <= radius:
                 want[x, y] = n
-    assert got == want
+    rows = fingerprints.near_pairs(table, radius, hot=hot).collect()
+    assert {(r.a, r.b): r.distance for r in rows} == want and len(rows) == len(want)
+    counts = Counter(x for p in want for x in p)
+    assert {r.fp: r.n for r in fingerprints.near_counts(table, radius, hot=hot).collect()} == counts
+
+
+def test_repeated_rows(spark):
+    """Of equal rows each is the next of the one before it; the last one's next is another document."""
+    docs = spark.createDataFrame([(1, "one two three four five six")] * 300 + [(2, "x y z")] + [(None, None)] * 3, "doc_id long, text string").repartition(5)
+    got = fingerprints.fingerprint_documents(docs).collect()
+    assert Counter(r.doc_id for r in got) == {1: 300, 2: 1, None: 3}
+    assert Counter(r.near_next == 1 for r in got if r.doc_id == 1) == {True: 299, False: 1}
+    want = brute.edited([None] * 3 + ["one two three four five six"] * 300 + ["x y z"])
+    assert Counter(r.edited_sha256 for r in got) == Counter(w[1] for w in want)
+
+
+def plain_fences(values, kind, slack):
+    x = sorted(values)
+    q1, q3, top = (x[max(0, math.ceil(q * len(x)) - 1)] for q in rules.LEVELS)
+    return (q1 - rules.SPREAD * (q3 - q1) - slack, q3 + rules.SPREAD * (q3 - q1) + slack) if kind == rules.QUARTILES else (-1, top + (top - q3) + slack)
+
+
+def test_verdicts_against_plain(spark):
+    """kept, from plain quantiles of plain measures, but for rows so close to a fence that a bucket's width decides."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.collect()
+    measures = {}
+    for r in rows:
+        n, chars, symbols, dup, again = brute.rule_counts(r.text)
+        if n >= 10 and 100 * again <= 20 * n:
+            lines = [x for x in r.text.split("\n") if brute.words(x)]
+            measures[r.doc_id] = {"symbol_ratio": symbols / chars, "upper_ratio": sum("A" <= c <= "Z" for c in r.text) / chars, "dup_line_ratio": dup / len(lines), "repeat_ratio": again / n, "mean_word": chars / n}
+    group = {r.doc_id: (r.lang, r.source) for r in rows}
+    own, wide = defaultdict(list), defaultdict(list)
+    for i, m in measures.items():
+        own[group[i]].append(m)
+        wide[group[i][0]].append(m)
+    want, close = {}, set()
+    for i, m in measures.items():
+        want[i] = True
+        for name, (kind, slack, below) in rules.MEASURES.items():
+            members = [x[name] for x in own[group[i]]]
+            (lo, hi), (wlo, whi) = plain_fences(members, kind, slack), plain_fences([x[name] for x in wide[group[i][0]]], kind, slack)
+            k = len(members)
+            lo, hi = ((k * a + rules.SHRINK * b) / (k + rules.SHRINK) for a, b in ((lo, wlo), (hi, whi)))
+            want[i] &= m[name] <= hi and (not below or m[name] >= lo)
+            if abs(m[name] - hi) < 0.03 * hi + 0.002 or below and abs(m[name] - lo) < 0.06 * lo:
+                close.add(i)
+    got = {r.doc_id: r.kept for r in rules.apply_rules(docs).collect()}
+    assert {i for i, k in got.items() if k and i not in measures} == set()
+    assert {i: got[i] for i in measures if i not in close} == {i: want[i] for i in measures if i not in close}
+    assert len(close) < 0.05 * len(measures) and 0 < sum(want.values()) < len(want)
+
+
+def test_verdicts_agree_in_any_order(spark):
+    """However rows are dealt, sketches and verdicts are the same; equal values and one-valued groups pass."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    runs = [sorted(map(tuple, rules.apply_rules(d).collect())) for d in (docs, docs.repartition(13), docs.orderBy("text").repartition(3))]
+    assert runs[0] == runs[1] == runs[2]
+    same = spark.createDataFrame([(i, "ten words that are all the same in every document", "en", "s") for i in range(30)], "doc_id long, text string, lang string, source string")
+    assert {r.kept for r in rules.apply_rules(same).collect()} == {True}
