@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
 Quality, near duplicates, shared passages, mixture, tokens. All but the last return the columns of documents. Each
-stage handles nulls, empty texts, repeated rows, ties and empty tables as its operator's module says.
+stage handles nulls, empty and very long texts, repeated rows, ties, other columns and empty tables as its operator's
+module says. What a stage has written is deleted once the next one is done.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from meshroute.llm import bpe, mixing, neardup, quality, substrings
-from meshroute.llm.common import documents, scratch_path
+from meshroute.llm.common import documents, drop, scratch_path
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)
+        before = path
     return docs
