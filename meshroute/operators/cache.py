@@ -1,4 +1,4 @@
-"""Shortest-path trees kept as a table, one for each origin asked for, keyed by the graph's version."""
+"""Shortest-path trees kept as a table, one for each origin asked for, of one graph."""
 
 from __future__ import annotations
 
@@ -6,25 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshroute.operators import paths, relax
-from meshroute.operators.model import Graph
+from meshroute.operators.model import Graph, check_ids
 from meshroute.session import cut
 
 SCHEMA = "origin_id long, node long, dist double, pred long"
 
 
-def check_ids(graph: Graph, pairs: DataFrame) -> None:
-    """Raises ValueError if an origin_id or destination_id isn't a node."""
-    ids = pairs.select(F.col("origin_id").alias("id")).union(pairs.select("destination_id")).distinct()
-    bad = [r.id for r in ids.join(graph.nodes.select("node_id"), F.col("id") == F.col("node_id"), "left_anti").limit(5).collect()]
-    if bad:
-        raise ValueError(f"not nodes of the graph: {bad}")
-
-
 class TreeCache:
     def __init__(self, graph: Graph):
-        self.graph, self._version = graph, graph.version
+        self.graph = self._of = graph
         self._trees: DataFrame | None = None
 
+    def of(self, graph: Graph) -> TreeCache:
+        """This cache, if its trees are the graph's; after any change a new one: a graph is immutable, so that its trees hold
+        for that very graph only."""
+        return self if graph is self._of else TreeCache(graph)
+
     def reset(self) -> None:
         self._trees = None
 
@@ -40,10 +37,10 @@ class TreeCache:
         self._trees = trees
 
     def ensure(self, origins: DataFrame) -> DataFrame:
-        """The trees of these origins (origin_id), computing those that are missing."""
-        if self.graph.version != self._version:
+        """The trees of these origins (origin_id), computing those that are missing. Another graph has other trees."""
+        if self.graph is not self._of:
             self.reset()
-            self._version = self.graph.version
+            self._of = self.graph
         have = self.get().select(F.col("origin_id").alias("h_origin")).distinct()
         new = cut(origins.select("origin_id").distinct().join(have, F.col("origin_id") == F.col("h_origin"), "left_anti"))
         if new.limit(1).count():
@@ -53,7 +50,7 @@ class TreeCache:
         return self.get().join(origins.select(F.col("origin_id").alias("w_origin")).distinct(), F.col("origin_id") == F.col("w_origin"), "left_semi")
 
     def shortest_paths(self, pairs: DataFrame, length_only: bool = False) -> DataFrame:
-        check_ids(self.graph, pairs)
+        check_ids(self.graph.nodes, pairs)
         tree = self.ensure(pairs.select("origin_id"))
         if not length_only:
             return paths.tree_paths(tree, pairs)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshroute.operators import relax
-from meshroute.operators.model import Graph, inverse
+from meshroute.operators.model import Graph, check_ids, inverse
 from meshroute.operators.relax import seeds_of
 from meshroute.session import cut
 
@@ -107,7 +107,9 @@ def build(graph: Graph, priority: Callable[[], Column] = edge_difference, witnes
 
 
 def distances(index: Hierarchy, pairs: DataFrame) -> DataFrame:
-    """(query_id, length, meet) of pairs (query_id, origin_id, destination_id), without those out of reach."""
+    """(query_id, length, meet) of pairs (query_id, origin_id, destination_id), without those out of reach. Ids that the
+    index lacks raise ValueError."""
+    check_ids(index.rank, pairs)
     f = cut(relax.trees(index.up, seeds_of(pairs.select("origin_id").distinct())))
     b = cut(relax.trees(index.down, seeds_of(pairs.select("destination_id").distinct(), "destination_id")))
     fwd = pairs.join(f.toDF("f_origin", "f_node", "f_dist"), F.col("origin_id") == F.col("f_origin"))
@@ -117,7 +119,7 @@ def distances(index: Hierarchy, pairs: DataFrame) -> DataFrame:
 
 
 def search(index: Hierarchy, pairs: DataFrame) -> DataFrame:
-    """(query_id, length, path) of pairs; null where no way leads."""
+    """(query_id, length, path) of pairs; null where no way leads. Ids that the index lacks raise ValueError."""
     from meshroute.operators import paths
 
     best = cut(distances(index, pairs))

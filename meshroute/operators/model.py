@@ -22,7 +22,7 @@ class Graph:
         return self.edges.sparkSession
 
     def with_(self, **changes) -> Graph:
-        """A changed copy; whatever is kept for a graph is kept by its version."""
+        """A changed copy, of the next version."""
         return replace(self, version=self.version + 1, **changes)
 
     def size(self) -> int:
@@ -78,6 +78,16 @@ def lightest(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).agg(F.min(F.col("weight").cast("double")).alias("weight"))
 
 
+def lightest_rows(edges: DataFrame) -> DataFrame:
+    """As lightest(), with the other columns of the lightest edge; of equally light ones the least by these."""
+    rest = [c for c in edges.columns if c not in ("src", "dst", "weight")]
+    if not rest:
+        return lightest(edges)
+    row = F.min(F.struct(F.col("weight").cast("double").alias("weight"), *rest)).alias("e")
+    best = edges.groupBy(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).agg(row)
+    return best.select("src", "dst", "e.weight", *[F.col(f"e.{c}").alias(c) for c in rest])
+
+
 def inverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
 
@@ -140,6 +150,14 @@ def asymmetric_edges(edges: DataFrame) -> DataFrame:
     return edges.join(back, (F.col("src") == F.col("b_dst")) & (F.col("dst") == F.col("b_src")) & (F.col("weight") == F.col("b_weight")), "left_anti")
 
 
+def check_ids(nodes: DataFrame, pairs: DataFrame) -> None:
+    """Raises ValueError if an origin_id or destination_id of pairs isn't a node_id."""
+    ids = pairs.select(F.col("origin_id").alias("id")).union(pairs.select("destination_id")).distinct()
+    bad = [r.id for r in ids.join(nodes.select("node_id"), F.col("id") == F.col("node_id"), "left_anti").limit(5).collect()]
+    if bad:
+        raise ValueError(f"not nodes of the graph: {bad}")
+
+
 def dangling_edges(graph: Graph) -> DataFrame:
     """Edges one of whose ends is no node."""
     ids = graph.nodes.select("node_id")

@@ -1,34 +1,26 @@
 """Shortest paths as set-based relaxation.
 
-All origins share the rounds. The state is one row for each (origin, node) reached: its distance, and whether it is
-still to be spread. A round joins the rows to spread with the edges, keeps the least distance for each node (combined
-before the shuffle), and merges. The state is written to the shared folder after every round, which cuts lineage; no
-row ever reaches the driver. With weights that are not negative the fixpoint is Dijkstra's result bit for bit, as
+All origins share the rounds. The state is one row for each (origin, node) reached: its distance, the node before it, and
+whether it is still to be spread. A round joins the rows to spread with the edges, keeps the least distance for each node
+(combined before the shuffle), and merges. The state is written to the shared folder after every round, which cuts lineage;
+no row ever reaches the driver. With weights that are not negative the fixpoint is Dijkstra's result bit for bit, as
 addition is monotone and both add from the origin on.
 
-For graphs of at most KERNEL_EDGES edges (checked, about 100 MB packed) the adjacency is broadcast instead and each
-origin gets its tree from a heap in the executors: far fewer jobs, the same distances.
+Graphs of at most KERNEL_EDGES edges (counted first) are sent to the executors instead; see kernel.py.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from heapq import heappop, heappush
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshroute.operators import kernel
+from meshroute.operators.kernel import KERNEL_EDGES, Adjacency, NegativeCycle, kernel_trees
 from meshroute.operators.model import Graph, inverse
 from meshroute.session import cut
 
-KERNEL_EDGES = 4_000_000
-TREE = "origin_id long, node long, dist double"
-
-
-class NegativeCycle(ValueError):
-    pass
+__all__ = ["KERNEL_EDGES", "STRATEGIES", "Adjacency", "NegativeCycle", "kernel_trees", "predecessors", "relax", "seeds_of", "strategy_named", "trees"]
 
 
 def seeds_of(origins: DataFrame, column: str = "origin_id") -> DataFrame:
@@ -44,23 +36,27 @@ def relax(
     delta: float | None = None,
     targets: DataFrame | None = None,
     remaining: Column | None = None,
+    places: DataFrame | None = None,
     everything: bool = False,
     most_rounds: int | None = None,
+    signed: bool = False,
     stop: DataFrame | None = None,
 ) -> DataFrame:
     """(origin_id, node, dist) for all nodes that the seeds (origin_id, node, dist) reach.
 
     delta: spread only the rows in the lowest bucket of this width in each round.
     targets: (origin_id, target[, ...]) with one target each; rows that can't improve on it aren't spread, and only
-        distances at and before targets are final. remaining, an expression over node and the columns of targets,
-        bounds the way still to go from below.
+        distances at and before targets are final. remaining, an expression over node, the columns of targets and
+        those of places (place, ...), a row for each node, bounds the way still to go from below.
     everything: spread all rows in every round.
     most_rounds: raise NegativeCycle if distances still fall after so many.
+    signed: weights may be negative. After 1, 2, 4, ... rounds the links to the nodes before are followed by doubling:
+        NegativeCycle if they run in a circle, which they do once distances have gone round a negative cycle.
     stop: (stop_node); distances to these are found, but not spread from.
     """
     e = edges.select("src", "dst", "weight")
-    state = cut(seeds.groupBy("origin_id", "node").agg(F.min("dist").alias("dist")).withColumn("todo", F.lit(True)))
-    rounds = 0
+    state = cut(seeds.groupBy("origin_id", "node").agg(F.min("dist").alias("dist")).withColumn("before", F.lit(None).cast("long")).withColumn("todo", F.lit(True)))
+    rounds, check = 0, 1
     while True:
         low = state.where("todo").agg(F.min("dist")).first()[0]
         if low is None:
@@ -68,6 +64,10 @@ def relax(
         rounds += 1
         if most_rounds is not None and rounds > most_rounds:
             raise NegativeCycle(f"distances still fall after {most_rounds} rounds")
+        if signed and rounds > check:
+            check *= 2
+            if _circles(state):
+                raise NegativeCycle("a cycle that is reached has a negative sum")
         chosen = F.lit(True) if everything else F.col("todo")
         if delta:
             chosen &= F.col("dist") < (np.floor(low / delta) + 1) * delta
@@ -78,11 +78,14 @@ def relax(
             t = targets.withColumnRenamed("origin_id", "t_origin")
             best = state.join(t, (F.col("origin_id") == F.col("t_origin")) & (F.col("node") == F.col("target"))).select(F.col("origin_id").alias("b_origin"), F.col("dist").alias("best"))
             front = front.join(t, F.col("origin_id") == F.col("t_origin")).join(best, F.col("origin_id") == F.col("b_origin"), "left")
+            if places is not None:
+                front = front.join(places, F.col("node") == F.col("place"))
             ahead = remaining if remaining is not None else F.lit(0.0)
             # A hair of slack, as the bound is rounded otherwise than the sum of weights.
             front = front.where(F.col("best").isNull() | (F.col("dist") + ahead <= F.col("best") * (1 + 1e-12)))
         step = front.select("origin_id", "node", "dist").join(e, F.col("node") == F.col("src"))
-        step = step.groupBy(F.col("origin_id").alias("c_origin"), F.col("dst").alias("c_node")).agg(F.min(F.col("dist") + F.col("weight")).alias("c_dist"))
+        step = step.groupBy(F.col("origin_id").alias("c_origin"), F.col("dst").alias("c_node")).agg(F.min(F.struct((F.col("dist") + F.col("weight")).alias("d"), F.col("src").alias("s"))).alias("c"))
+        step = step.select("c_origin", "c_node", F.col("c.d").alias("c_dist"), F.col("c.s").alias("c_before"))
         both = state.join(step, (F.col("origin_id") == F.col("c_origin")) & (F.col("node") == F.col("c_node")), "full_outer")
         better = F.col("c_dist").isNotNull() & (F.col("dist").isNull() | (F.col("c_dist") < F.col("dist")))
         state = cut(
@@ -90,68 +93,23 @@ def relax(
                 F.coalesce("origin_id", "c_origin").alias("origin_id"),
                 F.coalesce("node", "c_node").alias("node"),
                 F.when(better, F.col("c_dist")).otherwise(F.col("dist")).alias("dist"),
+                F.when(better, F.col("c_before")).otherwise(F.col("before")).alias("before"),
                 (better | F.coalesce(F.col("todo") & ~chosen, F.lit(False))).alias("todo"),
             )
         )
 
 
-class Adjacency:
-    """A graph packed for lookup: edges sorted by source."""
-
-    def __init__(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray):
-        order = np.lexsort((dst, src))
-        self.ids = np.unique(np.concatenate([src, dst]))
-        self.dst = np.searchsorted(self.ids, dst[order])
-        self.weight = weight[order]
-        self.first = np.searchsorted(np.searchsorted(self.ids, src[order]), np.arange(len(self.ids) + 1))
-
-    def tree(self, seeds: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes reached and their distances, by a heap."""
-        dist: dict[int, float] = {}
-        extra = {}
-        heap: list[tuple[float, int]] = []
-        for node, d in seeds:
-            at = int(np.searchsorted(self.ids, node))
-            if at < len(self.ids) and self.ids[at] == node:
-                heappush(heap, (d, at))
-            else:
-                extra[node] = min(d, extra.get(node, d))  # isolated
-        first, dst, weight = self.first, self._dst_list(), self._weight_list()
-        while heap:
-            d, at = heappop(heap)
-            if at in dist:
-                continue
-            dist[at] = d
-            for k in range(first[at], first[at + 1]):
-                if dst[k] not in dist:
-                    heappush(heap, (d + weight[k], dst[k]))
-        nodes = np.concatenate([self.ids[np.fromiter(dist, np.int64, len(dist))], np.fromiter(extra, np.int64, len(extra))]).astype(np.int64)
-        return nodes, np.concatenate([np.fromiter(dist.values(), float, len(dist)), np.fromiter(extra.values(), float, len(extra))])
-
-    def _dst_list(self) -> list[int]:
-        if not hasattr(self, "_d"):
-            self._d, self._w = self.dst.tolist(), self.weight.tolist()
-        return self._d
-
-    def _weight_list(self) -> list[float]:
-        return self._w
-
-
-def kernel_trees(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """As relax() without options, for weights that are not negative and a graph of at most KERNEL_EDGES edges."""
-    table = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double")).toArrow()
-    packed = edges.sparkSession.sparkContext.broadcast(tuple(table.column(i).to_numpy() for i in range(3)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = None
-        for batch in batches:
-            graph = graph or Adjacency(*packed.value)
-            for origin, nodes, dists in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found, dist = graph.tree(list(zip(nodes, dists, strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), origin)), pa.array(found), pa.array(dist)], ["origin_id", "node", "dist"])
-
-    by = seeds.groupBy("origin_id").agg(F.collect_list(F.struct("node", "dist")).alias("s")).select("origin_id", F.col("s.node").alias("nodes"), F.col("s.dist").alias("dists"))
-    return by.mapInArrow(run, TREE)
+def _circles(state: DataFrame) -> bool:
+    """Whether the links of (origin_id, node, before) run in a circle: then there are ancestors however far one goes."""
+    links = cut(state.where("before is not null").select("origin_id", "node", F.col("before").alias("up")))
+    n, far = links.groupBy("origin_id").count().agg(F.max("count")).first()[0] or 0, 1
+    while far <= n:
+        again = links.select(F.col("origin_id").alias("k_origin"), F.col("node").alias("k_node"), F.col("up").alias("k_up"))
+        links = cut(links.join(again, (F.col("origin_id") == F.col("k_origin")) & (F.col("up") == F.col("k_node"))).select("origin_id", "node", F.col("k_up").alias("up")))
+        far *= 2
+        if not links.limit(1).count():
+            return False
+    return links.limit(1).count() > 0
 
 
 def trees(edges: DataFrame, seeds: DataFrame, strategy: str = "auto", **options) -> DataFrame:
@@ -159,7 +117,7 @@ def trees(edges: DataFrame, seeds: DataFrame, strategy: str = "auto", **options)
     if strategy == "auto":
         strategy = "loop"
         if not options:
-            n, least = edges.agg(F.count("*"), F.min("weight")).first()
+            n, least = kernel.edge_count(edges)
             strategy = "kernel" if n <= KERNEL_EDGES and (least is None or least >= 0) else "loop"
     return kernel_trees(edges, seeds) if strategy == "kernel" else relax(edges, seeds, **options)
 
@@ -199,7 +157,7 @@ def predecessors_any_sign(edges: DataFrame, dist: DataFrame, origins: DataFrame)
     return d.join(h, (F.col("origin_id") == F.col("h_origin")) & (F.col("node") == F.col("h_node"))).select("origin_id", "node", "dist", "pred")
 
 
-# ---- Strategies by name. Each takes (edges, seeds, targets or None) and gives distances.
+# ---- Strategies by name. Each takes (edges, seeds, targets or None) and gives distances. targets: (origin_id, target).
 
 
 def dijkstra(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None = None) -> DataFrame:
@@ -212,26 +170,36 @@ def dijkstra_buckets(edges: DataFrame, seeds: DataFrame, targets: DataFrame | No
     return relax(edges, seeds, targets=targets, delta=wide or 1.0)
 
 
-def dijkstra_negative(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """Weights of any sign; NegativeCycle if a reachable cycle has a negative sum."""
-    n = edges.select(F.col("src").alias("n")).union(edges.select("dst")).distinct().count()
-    return relax(edges, seeds, most_rounds=n + 1)
+def _signed(edges: DataFrame, seeds: DataFrame, strategy: str, **options) -> DataFrame:
+    if strategy == "kernel" or strategy == "auto" and kernel.fits(edges):
+        out = cut(kernel.kernel_signed(edges, seeds))
+        if out.where("wrong").limit(1).count():
+            raise NegativeCycle("a cycle that is reached has a negative sum")
+        return out.drop("wrong")
+    return relax(edges, seeds, signed=True, **options)
+
+
+def dijkstra_negative(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None = None, strategy: str = "auto") -> DataFrame:
+    """Weights of any sign; NegativeCycle if a reachable cycle has a negative sum. strategy: as in trees()."""
+    return _signed(edges, seeds, strategy)
 
 
-def bellman_ford(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    n = edges.select(F.col("src").alias("n")).union(edges.select("dst")).distinct().count()
-    return relax(edges, seeds, everything=True, most_rounds=n + 1)
+def bellman_ford(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None = None, strategy: str = "auto") -> DataFrame:
+    """As dijkstra_negative(); the loop spreads every row in every round."""
+    return _signed(edges, seeds, strategy, everything=True)
 
 
 def bmssp(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None = None, width: int = 4) -> DataFrame:
-    """Bounded multi-source rounds: all below a bound is settled before the bound moves on by `width` largest weights."""
+    """Bounded multi-source rounds, as buckets: all below a bound is settled before the bound moves on by `width` largest
+    weights. The recursion over pivots by which the sequential algorithm avoids sorting has no use here, as nothing is sorted
+    and a round relaxes all rows below the bound at once."""
     wide = edges.agg(F.max("weight")).first()[0]
     return relax(edges, seeds, targets=targets, delta=(wide or 1.0) * width)
 
 
-def a_star(edges: DataFrame, seeds: DataFrame, targets: DataFrame, heuristic: Column | None = None) -> DataFrame:
-    """heuristic: an expression over node and the columns of targets that never exceeds the way still to go."""
-    return relax(edges, seeds, targets=targets, remaining=heuristic)
+def a_star(edges: DataFrame, seeds: DataFrame, targets: DataFrame, heuristic: Column | None = None, places: DataFrame | None = None) -> DataFrame:
+    """heuristic: an expression over node and the columns of targets and places that never exceeds the way still to go."""
+    return relax(edges, seeds, targets=targets, remaining=heuristic, places=places)
 
 
 STRATEGIES = {f.__name__: f for f in (dijkstra, dijkstra_buckets, dijkstra_negative, bellman_ford, bmssp, a_star)}

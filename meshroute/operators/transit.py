@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meshroute.operators import hierarchy, relax
 from meshroute.operators.hierarchy import Hierarchy
+from meshroute.operators.model import check_ids
 from meshroute.session import cut
 
 
@@ -48,7 +49,8 @@ def build(index: Hierarchy, transit_nodes: int = 100) -> Transit:
 
 def distances(index: Transit, pairs: DataFrame) -> DataFrame:
     """(query_id, length) of pairs (query_id, origin_id, destination_id): the better of the way over the table and the
-    local way below the transit nodes; null where neither leads."""
+    local way below the transit nodes; null where neither leads. Ids that the index lacks raise ValueError."""
+    check_ids(index.index.rank, pairs)
     a = index.access.where("forward").select(F.col("node").alias("a_node"), F.col("t").alias("a_t"), F.col("d").alias("a_d"))
     b = index.access.where("not forward").select(F.col("node").alias("b_node"), F.col("t").alias("b_t"), F.col("d").alias("b_d"))
     far = pairs.join(a, F.col("origin_id") == F.col("a_node")).join(index.table, F.col("a_t") == F.col("t1")).join(b, (F.col("destination_id") == F.col("b_node")) & (F.col("t2") == F.col("b_t")))
@@ -63,5 +65,6 @@ def distances(index: Transit, pairs: DataFrame) -> DataFrame:
 
 
 def search(index: Transit, pairs: DataFrame) -> DataFrame:
-    """(query_id, length, path); the path comes from the hierarchy below."""
+    """(query_id, length, path). The table has lengths only, as distances() uses it; a path comes from the hierarchy below,
+    which has the nodes between."""
     return hierarchy.search(index.index, pairs)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from meshroute.functions import geodesy
 from meshroute.operators import simplify
-from meshroute.operators.model import GeoGraph, lightest
+from meshroute.operators.model import GeoGraph, lightest, lightest_rows
 from meshroute.session import cut
 
 GRAPH_SCHEMA = """type string, graph array<map<string,double>>, nodes array<array<double>>,
@@ -250,7 +250,7 @@ def from_osm(nodes: DataFrame, edges: DataFrame, weight: str = "length", coordin
     e = edges.join(a, F.col("u") == F.col("a")).join(b, F.col("v") == F.col("b"))
     if shapes and "geometry" in edges.columns:
         pts = F.transform("geometry", lambda p: F.struct(F.round(p["y"], coordinate_places).alias("lat"), F.round(p["x"], coordinate_places).alias("lon")))
-        out = e.groupBy("src", "dst").agg(F.min(w).alias("weight"), F.max_by(pts, w).alias("shape"))
+        out = lightest_rows(e.select("src", "dst", w.alias("weight"), pts.alias("shape")))
     else:
         out = lightest(e.select("src", "dst", w.alias("weight")))
     if weight == "length":
