@@ -106,7 +106,9 @@ def sssp_negative_dag(spark, sf_dir):
     return _tree(relax.dijkstra_negative(cut(fx.tree_edges(spark, sf_dir)), relax.seeds_of(_from(spark, 0))))
 
 
-@query("SELECT 'tree' AS graph, false AS negative_cycle UNION ALL SELECT 'closed', true")
+# All weights but the one that is made negative are positive, so that a negative cycle is that edge and the way back.
+@query(f"""WITH {fx.RING_SQL}, g AS (SELECT 'tree' AS graph, * FROM e UNION ALL SELECT 'closed', src, dst, CASE WHEN src = 0 AND dst = 1 THEN -100 ELSE w END FROM e)
+SELECT graph, min(a.w + b.w) < 0 AS negative_cycle FROM g AS a JOIN g AS b USING (graph) WHERE a.src = b.dst AND a.dst = b.src GROUP BY 1""")
 def negative_cycle_flag(spark, sf_dir):
     e = fx.ring_edges(spark, sf_dir)
     closed = e.select("src", "dst", F.when((F.col("src") == 0) & (F.col("dst") == 1), -100.0).otherwise(F.col("weight")).alias("weight"))
@@ -171,11 +173,23 @@ def reachability(spark, sf_dir):
     return relax.reached(cut(fx.tree_edges(spark, sf_dir)), _from(spark, 5)).select("node")
 
 
-@query("WITH RECURSIVE " + fx.LANE_SQL + ", f(node) AS (SELECT min(c_nationkey)::BIGINT FROM customer UNION SELECT e.dst FROM f JOIN e ON f.node = e.src), b(node) AS (SELECT min(c_nationkey)::BIGINT FROM customer UNION SELECT e.src FROM b JOIN e ON b.node = e.dst), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node AS node_id FROM v WHERE node NOT IN (SELECT node FROM f) OR node NOT IN (SELECT node FROM b)")
+def _apart(first: str) -> str:
+    """SQL of f, what `first` reaches over e, and b, what reaches it."""
+    return f"f(node) AS ({first} UNION SELECT e.dst FROM f JOIN e ON f.node = e.src), b(node) AS ({first} UNION SELECT e.src FROM b JOIN e ON b.node = e.dst)"
+
+
+@query(f"WITH RECURSIVE {fx.TREE_SQL}, {_apart('SELECT 5::BIGINT')} SELECT p_partkey AS node_id FROM part WHERE p_partkey NOT IN (SELECT node FROM f) OR p_partkey NOT IN (SELECT node FROM b)")
 def strong_connectivity(spark, sf_dir):
+    nodes = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"))
+    return relax.unreached(model.Graph(cut(fx.tree_edges(spark, sf_dir)), nodes), 5)
+
+
+@query(f"WITH RECURSIVE {fx.LANE_SQL}, {_apart('SELECT min(c_nationkey)::BIGINT FROM customer')}, v AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node AS node_id, node IN (SELECT node FROM f) AND node IN (SELECT node FROM b) AS connected FROM v")
+def lane_connectivity(spark, sf_dir):
     g = model.from_edges(cut(fx.lane_edges(spark, sf_dir)))
     first = fx.table(spark, sf_dir, "customer").agg(F.min("c_nationkey")).first()[0]
-    return relax.unreached(g, first)
+    gone = relax.unreached(g, first).withColumnRenamed("node_id", "gone")
+    return g.nodes.join(gone, F.col("node_id") == F.col("gone"), "left").select("node_id", F.col("gone").isNull().alias("connected"))
 
 
 @query(f"WITH {fx.LANE_SQL} SELECT a.src, a.dst, a.w AS weight FROM e AS a LEFT JOIN e AS b ON a.src = b.dst AND a.dst = b.src AND a.w = b.w WHERE b.src IS NULL")
@@ -183,9 +197,16 @@ def symmetry_violations(spark, sf_dir):
     return model.asymmetric_edges(fx.lane_edges(spark, sf_dir)).select("src", "dst", F.col("weight").cast("long").alias("weight"))
 
 
-@query("SELECT unnest(['no_nodes', 'dangling_edges', 'negative_or_missing_weights', 'asymmetric_edges', 'unreached_nodes']) AS rule, 0::BIGINT AS violations")
+# A tree with a node taken out: edges that hang, weights below nought, no way back.
+@query(f"""WITH RECURSIVE {fx.TREE_SQL}, nd AS (SELECT p_partkey::BIGINT AS node_id FROM part WHERE p_partkey <> 3), {_apart('SELECT min(node_id) FROM nd')}
+SELECT 'no_nodes' AS rule, (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM nd)::BIGINT AS violations
+UNION ALL SELECT 'dangling_edges', (SELECT count(*) FROM e WHERE src NOT IN (SELECT node_id FROM nd)) + (SELECT count(*) FROM e WHERE dst NOT IN (SELECT node_id FROM nd))
+UNION ALL SELECT 'negative_or_missing_weights', (SELECT count(*) FROM e WHERE w < 0)
+UNION ALL SELECT 'asymmetric_edges', (SELECT count(*) FROM e AS x WHERE NOT EXISTS (SELECT 1 FROM e AS y WHERE y.src = x.dst AND y.dst = x.src AND y.w = x.w))
+UNION ALL SELECT 'unreached_nodes', (SELECT count(*) FROM nd WHERE node_id NOT IN (SELECT node FROM f) OR node_id NOT IN (SELECT node FROM b))""")
 def validate_report(spark, sf_dir):
-    return model.validate(fx.ring(spark, sf_dir))
+    nodes = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id")).where("node_id <> 3")
+    return model.validate(model.Graph(cut(fx.tree_edges(spark, sf_dir)), nodes))
 
 
 @query(f"WITH {fx.PART_SQL} SELECT dst AS src, src AS dst, w AS weight FROM e")
@@ -334,14 +355,14 @@ def attach_coord_node(spark, sf_dir):
     return g.edges.select("src", "dst", F.round("weight", 3).alias("weight"))
 
 
-@query(f"""WITH {fx.RING_SQL}, {fx.RING_NODES_SQL}, m AS (SELECT node_id + 25 AS node_id, lat + 0.5 AS lat, lon + 0.5 AS lon FROM nd), pt AS (SELECT s_suppkey::BIGINT AS point_id, (s_suppkey * 37) % 1409 / 10.0::DOUBLE - 70 AS lat, (s_suppkey * 91) % 3583 / 10.0::DOUBLE - 179 AS lon FROM supplier WHERE s_suppkey < 5),
+@query(f"""WITH {fx.RING_SQL}, {fx.RING_NODES_SQL}, m AS (SELECT node_id + 25 AS node_id, lat + 0.5 AS lat, lon + 0.5 AS lon FROM nd), pt AS (SELECT s_suppkey::BIGINT AS point_id, (s_suppkey * 37) % 1409 / 10.0::DOUBLE - 70 AS lat, (s_suppkey * 91) % 3583 / 10.0::DOUBLE - 179 AS lon FROM supplier),
 k AS (SELECT point_id + 50 AS src, node_id AS dst, round(round({_h('pt', 'nd')} * 1.2, 4), 3) AS w, row_number() OVER (PARTITION BY point_id ORDER BY pow(nd.lat - pt.lat, 2) + pow(nd.lon - pt.lon, 2)) AS rn FROM pt, nd WHERE abs(nd.lat - pt.lat) <= 90 AND abs(nd.lon - pt.lon) <= 90
  UNION ALL SELECT point_id + 50, node_id, round(round({_h('pt', 'm')} * 1.2, 4), 3), row_number() OVER (PARTITION BY point_id ORDER BY pow(m.lat - pt.lat, 2) + pow(m.lon - pt.lon, 2)) FROM pt, m WHERE abs(m.lat - pt.lat) <= 90 AND abs(m.lon - pt.lon) <= 90)
 SELECT src, dst, w::DOUBLE AS weight FROM e UNION ALL SELECT src + 25, dst + 25, w FROM e UNION ALL SELECT src, dst, w FROM k WHERE rn = 1 UNION ALL SELECT dst, src, w FROM k WHERE rn = 1""")
 def merge_networks(spark, sf_dir):
     a = fx.ring(spark, sf_dir)
     b = a.with_(nodes=a.nodes.select("node_id", (F.col("lat") + 0.5).alias("lat"), (F.col("lon") + 0.5).alias("lon")))
-    ports = fx.places(spark, sf_dir, "supplier", "s_suppkey").where("point_id < 5")
+    ports = fx.places(spark, sf_dir, "supplier", "s_suppkey")
     return attach.merge(a, b, ports, bound=90.0).edges.select("src", "dst", F.round("weight", 3).alias("weight"))
 
 
@@ -374,6 +395,32 @@ def distance_matrix_dense(spark, sf_dir):
     return m.select("i", F.size("row").cast("long").alias("n"), F.round(F.aggregate("row", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
 
 
+@query(f"""{fx.sssp_sql(fx.PART_SQL + ", " + fx.places_sql("part", "p_partkey", "nd0") + ", nd AS (SELECT point_id AS node_id, lat, lon FROM nd0), " + fx.places_sql("supplier", "s_suppkey") + ", " + _ENTRY, "SELECT DISTINCT node_id, node_id, 0::BIGINT FROM nn")}
+SELECT a.point_id AS i, b.point_id AS j, round(CASE WHEN a.node_id = b.node_id THEN 0 ELSE d.d + a.leg + b.leg END, 4) AS distance FROM nn AS a, nn AS b, d WHERE d.o = a.node_id AND d.node = b.node_id""")
+def distance_matrix_parts(spark, sf_dir):
+    """All pairs of suppliers over the network of parts, which grows with the scale factor."""
+    g = model.GeoGraph(cut(fx.part_edges(spark, sf_dir)), fx.places(spark, sf_dir, "part", "p_partkey").withColumnRenamed("point_id", "node_id"))
+    return routing.distance_matrix(g, fx.places(spark, sf_dir, "supplier", "s_suppkey")).select("i", "j", F.round("distance", 4).alias("distance"))
+
+
+@query(fx.sssp_sql(fx.PART_SQL, "SELECT s_suppkey::BIGINT, s_suppkey::BIGINT, 0::BIGINT FROM supplier") + " SELECT o AS origin_id, count(*) AS reached, sum(d)::BIGINT AS total, max(d)::BIGINT AS furthest FROM d GROUP BY 1")
+def tree_sums(spark, sf_dir):
+    """A whole tree over the network of parts for each supplier's key."""
+    o = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("origin_id"))
+    dist = relax.trees(cut(fx.part_edges(spark, sf_dir)), relax.seeds_of(o))
+    return dist.groupBy("origin_id").agg(F.count("*").alias("reached"), F.sum("dist").cast("long").alias("total"), F.max("dist").cast("long").alias("furthest"))
+
+
+@query(fx.sssp_sql(fx.PART_SQL, "SELECT s_suppkey::BIGINT, s_suppkey::BIGINT, 0::BIGINT FROM supplier") + " SELECT o AS query_id, d AS length FROM d WHERE node = (o * 13 + 7) % (SELECT n FROM n)")
+def part_paths(spark, sf_dir):
+    """Paths over the network of parts, their lengths summed up again edge by edge."""
+    g = fx.part_graph(spark, sf_dir)
+    n = g.size()
+    pairs = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.col("s_suppkey").alias("origin_id"), ((F.col("s_suppkey") * 13 + 7) % n).alias("destination_id"))
+    got = cut(routing.shortest_paths(g, pairs).where("length is not null").select("query_id", "path"))
+    return paths.path_weights(g.edges, got).select("query_id", F.col("weight").cast("long").alias("length"))
+
+
 @query()
 def route_coordinates(spark, sf_dir):
     return routing.route(fx.ring(spark, sf_dir), _trips(spark, sf_dir), form="list_of_lists_long_first")
@@ -467,17 +514,19 @@ def visvalingam(spark, sf_dir):
     return simplify.simplify_lines(simplify.clean_lines(_tracks(spark, sf_dir)), 50, 3)
 
 
-@query()
+@query(f"""WITH {fx.RING_SQL}, {fx.RING_NODES_SQL} SELECT src, dst, '{{"type":"Feature","properties":{{"origin_idx":' || src || ',"destination_idx":' || dst || ',"distance":' || w::DOUBLE || '}},"geometry":{{"type":"LineString","coordinates":[[' || a.lon || ',' || a.lat || '],[' || b.lon || ',' || b.lat || ']]}}}}' AS value
+FROM e JOIN nd AS a ON a.node_id = src JOIN nd AS b ON b.node_id = dst""")
 def geojson_edges(spark, sf_dir):
     return files.geojson_features(fx.ring(spark, sf_dir))
 
 
-@query("SELECT l_suppkey AS u, l_partkey AS v, round(min(floor(l_extendedprice) / 1000), 3) AS weight FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey <> l_suppkey GROUP BY 1, 2")
+# Metres with two decimals, as km to three places, halves up.
+@query("SELECT l_suppkey AS u, l_partkey AS v, (round(min(l_extendedprice) * 100)::BIGINT + 50) // 100 / 1000.0::DOUBLE AS weight FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2")
 def osm_graph(spark, sf_dir):
     t = lambda n: fx.table(spark, sf_dir, n)
     ids = t("part").select(F.col("p_partkey").alias("osmid")).union(t("supplier").select("s_suppkey")).distinct()
     nodes = ids.select("osmid", (F.col("osmid") % 3583 / 10 - 179).alias("x"), (F.floor(F.col("osmid") / 3583) / 10 - 70).alias("y"))
-    edges = t("lineitem").where("l_partkey <> l_suppkey").select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"), F.floor("l_extendedprice").alias("length"))
+    edges = t("lineitem").select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"), F.col("l_extendedprice").alias("length"))
     g = files.from_osm(nodes, edges, shapes=False)
     back = cut(g.nodes.select("node_id", (F.round((F.col("lon") + 179) * 10) + 3583 * F.round((F.col("lat") + 70) * 10)).cast("long").alias("osmid")))
     e = g.edges.join(back.toDF("a", "u"), F.col("src") == F.col("a")).join(back.toDF("b", "v"), F.col("dst") == F.col("b"))
@@ -499,11 +548,21 @@ def tnr_query_lengths(spark, sf_dir):
     return transit.distances(index, _ring_pairs(spark, sf_dir)).select("query_id", F.col("length").cast("long").alias("length"))
 
 
-@query("SELECT 0::BIGINT AS wrong WHERE false")
+@query("SELECT n_nationkey::BIGINT AS node_id, 0::BIGINT AS wrong FROM nation")
 def ch_upward_edges_valid(spark, sf_dir):
-    """Upward edges that aren't as long as the shortest way between their ends, or don't lead up: none."""
+    """For each node, how many of its edges don't lead up, or aren't as long as some way between their ends: none. Of the
+    core, whose edges are upward both ways, one of each two leads up."""
     g = fx.ring(spark, sf_dir)
     index = hierarchy.build(g)
-    e = cut(index.up.select("src", "dst", "weight").unionByName(index.down.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
+    own = cut(index.up.select("src", "dst", "weight", F.lit(True).alias("there")).unionByName(index.down.select("src", "dst", "weight", F.lit(False).alias("there"))))
+    rank = index.rank.select(F.col("node_id").alias("r_id"), "rank")
+    e = own.join(rank.toDF("s_id", "s_rank"), F.col("src") == F.col("s_id"), "left").join(rank.toDF("d_id", "d_rank"), F.col("dst") == F.col("d_id"), "left")
+    core = index.up.select(F.col("src").alias("k_src"), F.col("dst").alias("k_dst")).intersect(index.up.select("dst", "src"))
+    e = e.join(core, (F.col("src") == F.col("k_src")) & (F.col("dst") == F.col("k_dst")), "left")
     dist = relax.trees(g.edges, relax.seeds_of(g.nodes, "node_id"))
-    return e.join(dist, (F.col("src") == F.col("origin_id")) & (F.col("dst") == F.col("node"))).where("weight < dist").select(F.col("src").alias("wrong"))
+    a, b = F.when(F.col("there"), F.col("src")).otherwise(F.col("dst")), F.when(F.col("there"), F.col("dst")).otherwise(F.col("src"))
+    e = e.select("src", "weight", "s_rank", "d_rank", F.col("k_src").isNotNull().alias("core"), a.alias("a"), b.alias("b"))
+    e = e.join(dist, (F.col("a") == F.col("origin_id")) & (F.col("b") == F.col("node")), "left")
+    ok = F.coalesce(F.col("core") | (F.col("s_rank") < F.col("d_rank")), F.lit(False)) & F.coalesce(F.col("weight") >= F.col("dist"), F.lit(False))
+    bad = e.where(~ok).groupBy(F.col("src").alias("w_src")).agg(F.count("*").alias("n"))
+    return index.rank.join(bad, F.col("node_id") == F.col("w_src"), "left").select("node_id", F.coalesce("n", F.lit(0).cast("long")).alias("wrong"))
