@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KERNEL_EDGES = 4_000_000
-CELLS, ROUNDS = 2_000_000, 400
+#: Edges times origins that are relaxed together, to stay in a core's cache; rounds before the heap takes over; in-edges of
+#: a node that are relaxed one by one.
+CELLS, ROUNDS, LAYERS = 500_000, 400, 8
 TREE = "origin_id long, node long, dist double"
 
 
@@ -37,7 +39,11 @@ class Adjacency:
         self.first = np.searchsorted(src[order], np.arange(len(self.ids) + 1))
         order = np.lexsort((src, dst))
         self.in_src, self.in_dst, self.in_weight = src[order], dst[order], weight[order]
+        self.in_first = np.searchsorted(self.in_dst, np.arange(len(self.ids) + 1))
+        self.positive = not len(weight) or weight.min() > 0
+        self.together = max(1, min(16, CELLS // max(1, len(weight))))  # origins relaxed at a time
         self._lists: tuple | None = None
+        self._layers: list | None = None
         self.deep = False  # whether rounds have turned out to be too many
 
     def place(self, node: int) -> int:
@@ -50,6 +56,16 @@ class Adjacency:
             self._lists = self.first.tolist(), self.dst.tolist(), self.weight.tolist()
         return self._lists
 
+    def layers(self) -> list[np.ndarray]:
+        """The edges by their number among those of one target, so that no target is twice in a layer; the last layer holds
+        all from LAYERS on, sorted by target."""
+        if self._layers is None:
+            number = np.arange(len(self.in_dst)) - np.searchsorted(self.in_dst, self.in_dst)
+            self._layers = [at for k in range(LAYERS) if len(at := np.flatnonzero(number == k))]
+            if len(rest := np.flatnonzero(number >= LAYERS)):
+                self._layers.append(rest)
+        return self._layers
+
     def rounds(self, dist: np.ndarray, most: int | None = None) -> bool:
         """Relaxes distances (nodes x origins) in place to the fixpoint; False if that takes more than `most` rounds."""
         changed, n = np.isfinite(dist).any(1), 0
@@ -57,20 +73,36 @@ class Adjacency:
             n += 1
             if most is not None and n > most:
                 return False
-            on = np.flatnonzero(changed[self.in_src])
-            if not len(on):
-                break
-            to = self.in_dst[on]
-            heads = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-            best = np.minimum.reduceat(dist[self.in_src[on]] + self.in_weight[on, None], heads, axis=0)
-            rows = to[heads]
-            old = dist[rows]
-            better = (best < old).any(1)
-            dist[rows[better]] = np.minimum(best[better], old[better])
-            changed = np.zeros(len(dist), bool)
-            changed[rows[better]] = True
+            new = np.zeros(len(dist), bool)
+            for k, layer in enumerate(self.layers()):
+                on = layer[changed[self.in_src[layer]]]
+                if not len(on):
+                    continue
+                to, over = self.in_dst[on], dist[self.in_src[on]]
+                over += self.in_weight[on, None]
+                if k == LAYERS:
+                    heads = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                    to, over = to[heads], np.minimum.reduceat(over, heads, axis=0)
+                old = dist[to]
+                better = (over < old).any(1)
+                if better.any():
+                    to = to[better]
+                    dist[to] = np.minimum(over[better], old[better])
+                    new[to] = True
+            changed = new
         return True
 
+    def way_back(self, dist: np.ndarray, seeds: dict[int, float], at: int) -> list[int]:
+        """The way to a node out of one origin's distances, for positive weights: of the neighbours over which a distance
+        comes about exactly, the nearest, then the least."""
+        way = [at]
+        while seeds.get(at) != dist[at]:
+            a, z = self.in_first[at], self.in_first[at + 1]
+            tight = self.in_src[a:z][dist[self.in_src[a:z]] + self.in_weight[a:z] == dist[at]]
+            at = int(tight[np.lexsort((tight, dist[tight]))[0]])
+            way.append(at)
+        return way[::-1]
+
     def heap(self, seeds: list[tuple[int, float]], targets: set[int] | None = None, ahead=None, previous: dict[int, int] | None = None) -> dict[int, float]:
         """Distances of the nodes settled, as indices, until all targets are. ahead(i): a lower bound of the way still to go.
 
@@ -197,7 +229,7 @@ def kernel_trees(edges: DataFrame, seeds: DataFrame, keep: DataFrame | None = No
         for batch in batches:
             graph = graph or _opened(packed)
             places = None if wanted is None else np.array([graph.place(n) for n in wanted.value], np.int64)
-            some = max(1, min(64, CELLS // max(1, len(graph.weight))))
+            some = graph.together
             for i in range(0, batch.num_rows, some):
                 few = batch.slice(i, some).to_pydict()
                 dist, apart = np.full((len(graph.ids), len(few["origin_id"])), np.inf), []
@@ -288,26 +320,39 @@ def kernel_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame, nodes:
         for batch in batches:
             graph = _opened(packed)
             found: list[tuple] = []
+            jobs_ = []
             for origin, start, dists, ends in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                lone = {}
-                begin = []
+                begin: dict[int, float] = {}
+                lone: dict[int, float] = {}
                 for node, d in zip(start, dists, strict=True):
-                    if (i := graph.place(node)) >= 0:
-                        begin.append((i, d))
-                    else:
-                        lone[node] = min(d, lone.get(node, math.inf))
-                goals = {graph.place(t): t for t in ends if graph.place(t) >= 0}
+                    own, k = (begin, i) if (i := graph.place(node)) >= 0 else (lone, node)
+                    own[k] = min(d, own.get(k, math.inf))
                 found += [(origin, t, lone[t], [t]) for t in ends if t in lone]
+                goals = {i: t for t in ends if (i := graph.place(t)) >= 0}
                 if begin and goals:
+                    jobs_.append((origin, begin, goals))
+            for i in range(0, len(jobs_), graph.together):
+                few, dist = jobs_[i : i + graph.together], None
+                if at is None and graph.positive and not graph.deep:
+                    dist = np.full((len(graph.ids), len(few)), np.inf)
+                    for k, (_, begin, _) in enumerate(few):
+                        dist[list(begin), k] = list(begin.values())
+                    if not graph.rounds(dist, ROUNDS):
+                        graph.deep, dist = True, None
+                for k, (origin, begin, goals) in enumerate(few):
+                    if dist is not None:
+                        own = np.ascontiguousarray(dist[:, k])
+                        found += [(origin, t, float(own[g]), graph.ids[graph.way_back(own, begin, g)].tolist()) for g, t in goals.items() if own[g] < math.inf]
+                        continue
                     previous: dict[int, int] = {}
                     ahead = lower_bound(heuristic, *(at.value[1:]), next(iter(goals)), radius) if at is not None else None
-                    done = graph.heap(begin, set(goals), ahead, previous)
-                    for i, t in goals.items():
-                        if i in done:
-                            way = [i]
+                    done = graph.heap(list(begin.items()), set(goals), ahead, previous)
+                    for g, t in goals.items():
+                        if g in done:
+                            way = [g]
                             while way[-1] in previous:
                                 way.append(previous[way[-1]])
-                            found.append((origin, t, done[i], graph.ids[way[::-1]].tolist()))
+                            found.append((origin, t, done[g], graph.ids[way[::-1]].tolist()))
             cols = list(zip(*found, strict=True)) or [(), (), (), ()]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["origin_id", "target", "dist", "path"])

@@ -85,6 +85,19 @@ def test_rounds_and_heap_agree():
     for k in range(5):
         done = graph.heap([(k, 0.0)])
         assert {i: d for i, d in enumerate(dist[:, k]) if d < np.inf} == done
+    hub = kernel.Adjacency(np.r_[src, np.arange(1, 400)], np.r_[dst, np.zeros(399, int)], np.r_[rnd.integers(1, 9, 1500), np.full(399, 2)].astype(float))
+    far = np.full((len(hub.ids), 3), np.inf)
+    far[[5, 6, 7], [0, 1, 2]] = 0
+    assert hub.rounds(far) and len(hub.layers()) == kernel.LAYERS + 1
+    for k in range(3):
+        before: dict[int, int] = {}
+        done = hub.heap([(5 + k, 0.0)], previous=before)
+        assert {i: d for i, d in enumerate(far[:, k]) if d < np.inf} == done
+        for goal in (0, 17, 300):
+            way = [goal]
+            while way[-1] in before:
+                way.append(before[way[-1]])
+            assert goal not in done or hub.way_back(np.ascontiguousarray(far[:, k]), {5 + k: 0.0}, goal) == way[::-1]
     assert not graph.rounds(np.where(np.arange(len(graph.ids))[:, None] == 0, 0.0, np.inf), 1)
 
 
