@@ -2,8 +2,9 @@
 
 For every prefix of a piece the table holds the last token of that prefix's encoding, which is unique: a token ends
 the encoding of a prefix if the piece of text before it is encoded with a last token that may stand beside it. Two
-tokens may stand beside each other if merging their joined bytes gives back just these two. Texts are first cut by
-the tokenizer's pattern; merges never cross a cut.
+tokens may stand beside each other if merging their joined bytes gives back just these two, which the tokens along
+their border tell. The tokens that end at a byte come from an automaton over the vocabulary, longest first. Texts are
+first cut by the tokenizer's pattern; merges never cross a cut.
 
 Edge cases: a null text is an empty one; empty texts have no ids; documents of any length are held one at a time;
 repeated rows are each encoded; columns other than doc_id and text are not read.
@@ -25,7 +26,11 @@ from meshroute.llm.common import map_arrow
 from meshroute.llm.cutting import cutter
 
 #: Entries after which a cache starts anew: bounds a worker's memory.
-PIECES, PAIRS = 250_000, 300_000
+PIECES, PAIRS, MOVES, HEADS = 200_000, 300_000, 100_000, 30_000
+#: Bytes of a piece's head, whose table is kept: pieces with the same head append to it.
+HEAD = 4
+#: Above all ranks.
+NEVER = 1 << 40
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -42,10 +47,98 @@ class PrefixBPE:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.text_of = {i: str(i) for i in self.bytes_of}
         self.cut = cutter(pattern)
-        #: The tokens that merging their own bytes gives.
-        self.standing = {b: i for b, i in ranks.items() if self.merged(b) == [i]}
         self._pairs: dict[int, bool] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
+        self._heads: dict[bytes, tuple[int, list[int]]] = {}
+        self._split()
+        self._build()
+
+    def _split(self) -> None:
+        """Finds the tokens that merging their own bytes gives, and the two that each is merged from."""
+        self.standing: dict[bytes, int] = {}
+        self._left: dict[int, int] = {}
+        self._right: dict[int, int] = {}
+        #: Whether all standing tokens are merged from tokens of lower ranks, as in every trained vocabulary.
+        self.ordered = True
+        get = self.standing.get
+        for data, token in sorted(self.ranks.items(), key=lambda e: e[1]):
+            if len(data) == 1:
+                self.standing[data] = token
+                continue
+            for i in range(1, len(data)):
+                left, right = get(data[:i]), get(data[i:])
+                if left is not None and right is not None and self._first_across(left, right) == (left, right):
+                    self.standing[data] = token
+                    self._left[token], self._right[token] = left, right
+                    break
+            else:
+                if self.merged(data) == [token]:
+                    self.standing[data], self.ordered = token, False
+        if not self.ordered:
+            self.standing = {b: i for b, i in self.ranks.items() if self.merged(b) == [i]}
+
+    def _first_across(self, left: int, right: int) -> tuple[int, int] | None:
+        """The two tokens, one on each side of the border, that are the first to merge across it; None if none do.
+
+        Either side grows by merges of rising rank. At each time two tokens touch the border; they merge if their joint
+        rank comes before the next merge of either. Among equal ranks the leftmost merge goes first.
+        """
+        a, b = [left], [right]
+        while (t := self._right.get(a[-1])) is not None:
+            a.append(t)
+        while (t := self._left.get(b[-1])) is not None:
+            b.append(t)
+        i, j, name, rank = len(a) - 1, len(b) - 1, self.bytes_of, self.ranks.get
+        while True:
+            next_a, next_b = a[i - 1] if i else NEVER, b[j - 1] if j else NEVER
+            joint = rank(name[a[i]] + name[b[j]], NEVER)
+            if joint < next_a and joint <= next_b:
+                return a[i], b[j]
+            if not i and not j:
+                return None
+            if next_a <= next_b:
+                i -= 1
+            else:
+                j -= 1
+
+    def _build(self) -> None:
+        """The automaton: a trie of the standing tokens, whose states know the longest token that ends in them."""
+        edges: dict[int, int] = {}
+        parent, byte_of, own = [0], [0], [-1]
+        for data, token in self.standing.items():
+            state = 0
+            for byte in data:
+                if (to := edges.get(state << 8 | byte)) is None:
+                    to = edges[state << 8 | byte] = len(own)
+                    parent.append(state)
+                    byte_of.append(byte)
+                    own.append(-1)
+                state = to
+            own[state] = token
+        depth = [0] * len(own)
+        for s in range(1, len(own)):
+            depth[s] = depth[parent[s]] + 1
+        self._edges, self._moves = edges, {}
+        self._fall, self._ending = [0] * len(own), own
+        self._shorter = dict.fromkeys(self.bytes_of, -1)
+        self._size = {i: len(b) for i, b in self.bytes_of.items()}
+        for s in sorted(range(1, len(own)), key=depth.__getitem__):
+            if parent[s]:
+                self._fall[s] = self._move(self._fall[parent[s]], byte_of[s])
+            if own[s] < 0:
+                own[s] = own[self._fall[s]]
+            else:
+                self._shorter[own[s]] = own[self._fall[s]]
+
+    def _move(self, state: int, byte: int) -> int:
+        """The state after one more byte."""
+        if len(self._moves) >= MOVES:
+            self._moves.clear()
+        at = state
+        while (to := self._edges.get(at << 8 | byte)) is None and at:
+            at = self._fall[at]
+        to = self._moves[state << 8 | byte] = to or 0
+        return to
 
     def merged(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first and leftmost among equals; for short inputs only."""
@@ -65,26 +158,41 @@ class PrefixBPE:
     def _beside(self, left: int, right: int) -> bool:
         if len(self._pairs) >= PAIRS:
             self._pairs.clear()
-        ok = self._pairs[left << 32 | right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        if self.ordered:
+            ok = self._first_across(left, right) is None
+        else:
+            ok = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        self._pairs[left << 32 | right] = ok
         return ok
 
-    def extend(self, data: bytes, last: list[int], old: list[int] | None = None, shift: int = 0) -> None:
-        """Appends to last[] the last tokens of the prefixes of data that it lacks.
+    def extend(self, data: bytes, last: list[int], old: list[int] | None = None, shift: int = 0, state: int | None = None) -> int:
+        """Appends to last[] the last tokens of the prefixes of data that it lacks; returns the automaton's state.
+
+        The state where last[] ends is worked out unless it is given.
 
         With the last tokens `old` of the prefixes old[i] of an earlier text whose end data shares from i + shift on,
         it stops where as many of them in a row hold again as the longest token has bytes, and takes over the rest.
         """
-        get, known, longest, same = self.standing.get, self._pairs.get, self.longest, 0
-        for end in range(len(last), len(data) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                if (token := get(data[start:end])) is None:
-                    continue
+        known, moved, longest, same = self._pairs.get, self._moves.get, self.longest, 0
+        ending, shorter, size = self._ending, self._shorter, self._size
+        done = len(last) - 1
+        if state is None:
+            state = 0
+            for byte in data[max(0, done - longest) : done]:
+                state = self._move(state, byte)
+        for end, byte in enumerate(data[done:], done + 1):
+            if (to := moved(state << 8 | byte)) is None:
+                to = self._move(state, byte)
+            state, token = to, ending[to]
+            while token >= 0:
+                start = end - size[token]
                 if not start:
                     break
                 if (ok := known(last[start] << 32 | token)) is None:
                     ok = self._beside(last[start], token)
                 if ok:
                     break
+                token = shorter[token]
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
             last.append(token)
@@ -93,12 +201,30 @@ class PrefixBPE:
                 same = same + 1 if 0 <= at < len(old) and old[at] == token else 0
                 if same >= longest:
                     last.extend(old[at + 1 :])
-                    return
+                    break
+        return state
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         if (token := self.ranks.get(piece)) is not None:
             return (token,)
-        return tuple(PrefixTable(self, piece).tokens())
+        name = piece[:HEAD]
+        if (head := self._heads.get(name)) is None:
+            if len(self._heads) >= HEADS:
+                self._heads.clear()
+            last = [-1]
+            head = self._heads[name] = self.extend(name, last), last
+        last = head[1].copy()
+        self.extend(piece, last, state=head[0])
+        return tuple(self.tokens(last))
+
+    def tokens(self, last: list[int]) -> list[int]:
+        """The tokens that the table of a whole piece stands for."""
+        out, end, size = [], len(last) - 1, self._size
+        while end:
+            out.append(token := last[end])
+            end -= size[token]
+        out.reverse()
+        return out
 
     def encode(self, text: str) -> list[int]:
         known = self._pieces
@@ -132,11 +258,7 @@ class PrefixTable:
         self.bpe.extend(self.data, self.last, old, start + len(new) - stop)
 
     def tokens(self) -> list[int]:
-        out, end = [], len(self.data)
-        while end:
-            out.append(self.last[end])
-            end -= len(self.bpe.bytes_of[self.last[end]])
-        return out[::-1]
+        return self.bpe.tokens(self.last)
 
 
 @lru_cache(maxsize=2)

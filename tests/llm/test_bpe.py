@@ -49,3 +49,30 @@ def test_documents(spark):
 @pytest.mark.parametrize("n", [3, 4, 5, 50])
 def test_runs(n):
     assert OURS.encode("a" * n) == THEIRS.encode_ordinary("a" * n)
+
+
+def test_vocabulary():
+    assert OURS.ordered
+    assert OURS.standing == {b: i for b, i in OURS.ranks.items() if OURS.merged(b) == [i]}
+
+
+IDS = st.sampled_from(sorted(OURS.bytes_of))
+
+
+@settings(max_examples=2000, deadline=None)
+@given(IDS, IDS)
+def test_pairs(left, right):
+    data = OURS.bytes_of[left] + OURS.bytes_of[right]
+    assert (OURS._first_across(left, right) is None) == (OURS.merged(data) == [left, right])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab", min_size=2, max_size=5), unique=True, max_size=12), st.text(alphabet="ab", max_size=30))
+def test_small_vocabularies(tokens, text):
+    """Tokens in any order. Where merging reaches a token by later ones only, the round trip alone is sure."""
+    names = [bytes([i]) for i in range(256)] + [t.encode() for t in tokens]
+    ours = bpe.PrefixBPE({b: i for i, b in enumerate(names)}, "(?s).+")
+    ids = ours.encode(text)
+    if ours.ordered and text.encode() not in ours.ranks:
+        assert ids == ours.merged(text.encode())
+    assert ours.decode(ids) == text.encode()
