@@ -134,10 +134,13 @@ def geojson_features(graph: GeoGraph, shapes: bool = True) -> DataFrame:
     return _lines(graph, shapes).select("src", "dst", F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), line.alias("geometry"))).alias("value"))
 
 
+COLLECTION = '{"type": "FeatureCollection", "features": ['
+
+
 def collection(features: DataFrame, order: list[str]) -> DataFrame:
     """One row: a FeatureCollection of features (value, and columns to order by). For exchange; it is one row."""
     all_ = features.agg(F.sort_array(F.collect_list(F.struct(*order, "value"))).alias("f"))
-    return all_.select(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.transform("f", lambda x: x["value"]), ","), F.lit("]}")).alias("value"))
+    return all_.select(F.concat(F.lit(COLLECTION), F.array_join(F.transform("f", lambda x: x["value"]), ","), F.lit("]}")).alias("value"))
 
 
 def compact_geojson(graph: GeoGraph, shapes: bool = True) -> DataFrame:
@@ -147,8 +150,41 @@ def compact_geojson(graph: GeoGraph, shapes: bool = True) -> DataFrame:
     return rows.select(F.to_json(F.struct(F.lit("GeometryCollection").alias("type"), F.array(multi).alias("geometries"))).alias("value"))
 
 
+def _write_list(elements: DataFrame, order: list[str], head: str, tail: str, path: str) -> None:
+    """Writes head, the elements (value) by order with commas between, and tail: one file, an element to a line.
+
+    The one task that writes sorts with spill and holds no more than a line, so that only the file must be of a size
+    that its readers can use.
+    """
+    spark = elements.sparkSession
+    n = F.row_number().over(Window.orderBy(*order, "value"))
+    body = elements.select(F.lit(1).alias("part"), n.alias("n"), F.concat(F.when(n > 1, ",").otherwise(""), "value").alias("value"))
+    ends = spark.createDataFrame([(0, 0, head), (2, 0, tail)], "part int, n int, value string")
+    body.unionByName(ends).repartition(1).sortWithinPartitions("part", "n").select("value").write.mode("overwrite").text(path)
+
+
 def write_geojson(graph: GeoGraph, path: str, compact: bool = False, shapes: bool = True) -> None:
-    (compact_geojson(graph, shapes) if compact else collection(geojson_features(graph, shapes), ["src", "dst"])).coalesce(1).write.mode("overwrite").text(path)
+    """One GeoJSON document: a FeatureCollection, or if compact all edges as one MultiLineString. A network without edges
+    gives an empty list."""
+    if compact:
+        lines = _lines(graph, shapes).select("src", "dst", F.to_json("coordinates").alias("value"))
+        _write_list(lines, ["src", "dst"], '{"type": "GeometryCollection", "geometries": [{"type": "MultiLineString", "coordinates": [', "]}]}", path)
+    else:
+        _write_list(geojson_features(graph, shapes), ["src", "dst"], COLLECTION, "]}", path)
+
+
+def write_geojson_lines(graph: GeoGraph, path: str, shapes: bool = True) -> None:
+    """A folder of files with one feature to a line, written by all executors; in order of src over the files."""
+    geojson_features(graph, shapes).repartitionByRange("src", "dst").sortWithinPartitions("src", "dst").select("value").write.mode("overwrite").text(path)
+
+
+def write_simplified_geojson(spark: SparkSession, path: str, target: str, precision: int = 4, pct_to_keep: float = 100, min_points: int = 3) -> None:
+    """The lines of the GeoJSON documents under path as simplify_geojson() leaves them, as a FeatureCollection."""
+    points = simplify_geojson(spark, path, precision, pct_to_keep, min_points)
+    lines = points.groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    line = F.struct(F.lit("LineString").alias("type"), F.transform("p", lambda v: F.array(v["x"], v["y"])).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.expr("map()").cast("map<string,string>").alias("properties"), line.alias("geometry"))
+    _write_list(lines.select("line_id", F.to_json(feature).alias("value")), ["line_id"], COLLECTION, "]}", target)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

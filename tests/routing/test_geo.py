@@ -195,6 +195,16 @@ def test_files(spark, six, tmp_path):
     g = files.read_geojson(spark, f"{tmp_path}/c.geojson", min_points=2)
     assert g.nodes.count() == 6 and g.edges.count() == six.edges.count()
     assert g.edges.where("weight > 0").count() == g.edges.count()
+    files.write_geojson(GeoGraph(six.edges.limit(0), six.nodes), f"{tmp_path}/d.geojson")
+    assert json.loads("".join(r.value for r in spark.read.text(f"{tmp_path}/d.geojson").collect()))["features"] == []
+    files.write_geojson_lines(shaped, f"{tmp_path}/e")
+    lines = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/e").collect()]
+    by_ends = lambda f: (f["properties"]["origin_idx"], f["properties"]["destination_idx"])
+    assert sorted(lines, key=by_ends) == doc["features"]
+    files.write_simplified_geojson(spark, f"{tmp_path}/b.geojson", f"{tmp_path}/f.geojson", pct_to_keep=0, min_points=2)
+    thin = json.loads("".join(r.value for r in spark.read.text(f"{tmp_path}/f.geojson").collect()))
+    ends = lambda d: sorted([f["geometry"]["coordinates"][0], f["geometry"]["coordinates"][-1]] for f in d["features"])
+    assert ends(thin) == ends(doc) and all(len(f["geometry"]["coordinates"]) == 2 for f in thin["features"])
     reg = files.Registry(spark, f"{tmp_path}/reg")
     reg.put("six", shaped)
     assert [(r.name, r.cached) for r in reg.list(["far"]).collect()] == [("far", False), ("six", True)]
