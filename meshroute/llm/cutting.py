@@ -16,7 +16,14 @@ _LATIN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]
 
 
 def is_latin(text: str) -> bool:
-    return not text or text.isascii() or max(text) < LATIN_END
+    """Whether all letters come before LATIN_END. The largest letter is looked for last, as that takes as long as a cut."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return max(text) < LATIN_END
+    return True
 
 
 def cutter(pattern: str) -> Callable[[str], list[str]]:

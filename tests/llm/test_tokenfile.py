@@ -1,3 +1,4 @@
+import timeit
 import zlib
 
 import numpy as np
@@ -79,6 +80,15 @@ def test_cuts(text):
     assert cutting.USUAL == public_tokenizers.PATTERN
 
 
+def test_latin_is_told_at_once():
+    """Not letter by letter, which takes as long as the cut."""
+    text = "é" * 1_000_000
+    quick, slow = (min(timeit.repeat(lambda: f(text), number=1, repeat=5)) for f in (cutting.is_latin, max))  # noqa: B023
+    assert quick < slow / 4
+    odd = ["", "a", *map(chr, range(0x80, 0x300)), "\ud800", "中", "\U0001f600"]
+    assert all(cutting.is_latin(a + b) == (max(a + b, default="") < cutting.LATIN_END) for a in odd for b in ("", "é", "ɏ", "ɐ"))
+
+
 def test_many_new_pieces():
     import random
 
