@@ -16,3 +16,9 @@ def test_bbox_fallback_rounds_as_its_sql(spark, tmp_path):
     d = tables(spark, tmp_path, customer=("c_custkey", [2114, 4911, 5849]))
     got = {r.point_id: (r.node_id, r.weight) for r in catalogue.queries()["bbox_fallback"](spark, d).collect()}
     assert got == {2114: (9, 2085.923), 4911: (17, 8301.139), 5849: (7, 4170.1)}
+
+
+def test_closest_in_bbox_takes_the_southern_of_equally_near_nodes(spark, tmp_path):
+    d = tables(spark, tmp_path, customer=("c_custkey", [9033, 36797, 50554, 54998]))
+    got = {r.point_id: r.node_id for r in catalogue.queries()["closest_in_bbox"](spark, d).collect()}
+    assert got == {9033: 18, 36797: 19, 50554: 24, 54998: 22}
