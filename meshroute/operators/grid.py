@@ -17,6 +17,8 @@ from meshroute.session import cut
 MOVES = [(0, 1, 1.0), (1, 0, 1.0), (0, -1, 1.0), (-1, 0, 1.0), (1, 1, 1.4142), (1, -1, 1.4142), (-1, 1, 1.4142), (-1, -1, 1.4142)]
 BODY = [(0.0, 0.0), (0.0, 1.0), (1.0, 0.0), (1.0, 1.0)]
 FORMAT = 1
+#: Legs that differ by less are equal.
+TIE = 1e-9
 
 
 def swept(body: list[tuple[float, float]], dx: int, dy: int) -> list[tuple[int, int]]:
@@ -112,7 +114,8 @@ def snap(grid: Grid, points: DataFrame) -> DataFrame:
     """(point_id, node_id, leg) of points (point_id, x, y): the nearest corner of the lattice that has out-edges.
 
     A point on the lattice is its own cell, whatever its edges. node_id is null where no corner will do. Ties go to
-    the corner lower in x and y, then the one further in x, then in y.
+    the corner lower in x and y, then the one further in x, then in y; corners are equally far if their legs differ by less
+    than TIE, as the last digits of a leg hang on how it was reckoned.
     """
     open_ = grid.graph.edges.select(F.col("src").alias("open_id")).distinct()
     corner = F.explode(F.array(*[F.struct(F.lit(i).alias("order"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate([(0, 0), (1, 0), (0, 1), (1, 1)])]))
@@ -120,8 +123,10 @@ def snap(grid: Grid, points: DataFrame) -> DataFrame:
     p = points.select("point_id", "x", "y", on.alias("on"), corner.alias("c")).where(~F.col("on") | (F.col("c.order") == 0))
     p = p.select("*", (F.floor("x") + F.col("c.dx")).alias("cx"), (F.floor("y") + F.col("c.dy")).alias("cy")).where(F.col("cx").between(0, grid.x_size - 1) & F.col("cy").between(0, grid.y_size - 1))
     p = p.withColumn("cell", (F.col("cx") + F.col("cy") * grid.x_size).cast("long")).join(open_, F.col("cell") == F.col("open_id"), "left").where(F.col("on") | F.col("open_id").isNotNull())
-    best = p.groupBy(F.col("point_id").alias("b_id")).agg(F.min(F.struct(geodesy.euclidean("x", "y", "cx", "cy").alias("leg"), F.col("c.order").alias("order"), "cell")).alias("b"))
-    return points.join(best, F.col("point_id") == F.col("b_id"), "left").select("point_id", F.col("b.cell").alias("node_id"), F.col("b.leg").alias("leg"))
+    corners = F.collect_list(F.struct(F.col("c.order").alias("order"), "cell", geodesy.euclidean("x", "y", "cx", "cy").alias("leg")))  # four at most
+    best = p.groupBy(F.col("point_id").alias("b_id")).agg(corners.alias("k")).withColumn("leg", F.array_min(F.transform("k", lambda c: c["leg"])))
+    best = best.select("b_id", "leg", F.array_min(F.filter("k", lambda c: c["leg"] < F.col("leg") + TIE))["cell"].alias("cell"))
+    return points.join(best, F.col("point_id") == F.col("b_id"), "left").select("point_id", F.col("cell").alias("node_id"), "leg")
 
 
 def route(grid: Grid, queries: DataFrame, strategy="dijkstra", form: str = "list_of_dicts") -> DataFrame:

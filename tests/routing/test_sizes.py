@@ -22,3 +22,9 @@ def test_closest_in_bbox_takes_the_southern_of_equally_near_nodes(spark, tmp_pat
     d = tables(spark, tmp_path, customer=("c_custkey", [9033, 36797, 50554, 54998]))
     got = {r.point_id: r.node_id for r in catalogue.queries()["closest_in_bbox"](spark, d).collect()}
     assert got == {9033: 18, 36797: 19, 50554: 24, 54998: 22}
+
+
+def test_grid_snap_by_order_where_legs_differ_in_the_last_digit(spark, tmp_path):
+    d = tables(spark, tmp_path, supplier=("s_suppkey", [207, 371, 392, 656]))
+    got = {r.point_id: r.node_id for r in catalogue.queries()["grid_snap"](spark, d).collect()}
+    assert got == {207: 297, 371: 174, 392: 114, 656: 46}
