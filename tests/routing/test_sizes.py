@@ -1,5 +1,10 @@
 """What only came to light on larger tables: queries over tables of a few chosen keys."""
 
+import math
+
+import numpy as np
+
+from meshroute.operators import kernel, relax
 from meshroute.plans import catalogue
 
 
@@ -28,3 +33,48 @@ def test_grid_snap_by_order_where_legs_differ_in_the_last_digit(spark, tmp_path)
     d = tables(spark, tmp_path, supplier=("s_suppkey", [207, 371, 392, 656]))
     got = {r.point_id: r.node_id for r in catalogue.queries()["grid_snap"](spark, d).collect()}
     assert got == {207: 297, 371: 174, 392: 114, 656: 46}
+
+
+def web(n):
+    """Edges like those of the parts: whole weights, low diameter."""
+    return [(s, t, float(w)) for p in range(n) for s, t, w in ((p, 2 * p % n, 1 + 7 * p % 10), (p, (2 * p + 1) % n, 1 + (7 * p + 13) % 10), (p, (p + 1) % n, 1 + (7 * p + 26) % 10))]
+
+
+def packed(edges):
+    best = {}
+    for a, b, w in edges:
+        best[a, b] = min(w, best.get((a, b), math.inf))
+    return kernel.Adjacency(*map(np.array, zip(*((a, b, w) for (a, b), w in best.items()), strict=True)))
+
+
+def test_tree_sums_without_trees(spark, monkeypatch):
+    """A worker gives one row for each origin, and takes many origins in a search by levels."""
+    rows = [*web(500), (700, 701, 3.0)]
+    graph = packed(rows)
+    starts = [{k: 0.0} for k in range(70)] + [{3: 0.0, 9: 2.0}]
+    want = [(int(np.isfinite(d).sum()), d[np.isfinite(d)].sum(), d[np.isfinite(d)].max()) for d in (graph_by_heap(graph, s) for s in starts)]
+    assert graph.by_levels and list(graph.sums(starts)) == want and graph.by_levels
+    monkeypatch.setattr(graph, "heap", None)
+    monkeypatch.setattr(graph, "rounds", None)
+    assert all((a == graph_by_heap(packed(rows), s)).all() for a, s in zip(graph.distances(starts), starts, strict=True))
+    some = np.array([5, 4, -1, 77])
+    assert [d.tolist() for d in graph.distances(starts[:2], some)] == [[graph_by_heap(packed(rows), s)[p] if p >= 0 else math.inf for p in some] for s in starts[:2]]
+    monkeypatch.undo()
+    long = kernel.Adjacency(np.arange(3000), np.arange(1, 3001), np.full(3000, 9.0))
+    assert list(long.sums([{0: 0.0}])) == [(3001, 9.0 * 3000 * 3001 / 2, 27000.0)] and not long.by_levels
+    hub = packed([(k, 50 + k % 2, 2.0) for k in range(40)] + [(50, 1, 1.0), (51, 2, 1.0)])  # targets with more edges than LAYERS
+    starts = [{k: 0.0} for k in range(40)]
+    assert all((a == graph_by_heap(hub, s)).all() for a, s in zip(hub.distances(starts), starts, strict=True))
+    seeds = spark.createDataFrame([(1, 1, 0.0), (2, 900, 0.0), (3, 700, 1.0)], "origin_id long, node long, dist double")
+    edges = spark.createDataFrame(rows, "src long, dst long, weight double")
+    got = {r.origin_id: tuple(r)[1:] for r in relax.tree_sums(edges, seeds).collect()}
+    assert got[2] == (1, 0.0, 0.0) and got[3] == (2, 5.0, 4.0) and got[1] == want[1]
+    monkeypatch.setattr(relax, "KERNEL_EDGES", 1)
+    assert {r.origin_id: tuple(r)[1:] for r in relax.tree_sums(edges, seeds.where("origin_id > 1")).collect()} == {k: got[k] for k in (2, 3)}
+
+
+def graph_by_heap(graph, seeds):
+    dist = np.full(len(graph.ids), np.inf)
+    for at, d in graph.heap(list(seeds.items())).items():
+        dist[at] = d
+    return dist
