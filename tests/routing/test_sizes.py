@@ -78,3 +78,27 @@ def graph_by_heap(graph, seeds):
     for at, d in graph.heap(list(seeds.items())).items():
         dist[at] = d
     return dist
+
+
+def test_paths_from_both_ends(monkeypatch):
+    """The way and the distance that a whole tree gives, bit for bit, out of two small searches."""
+    rnd = np.random.default_rng(5)
+    for weight in (rnd.integers(1, 5, 4000).astype(float), rnd.uniform(0.1, 3, 4000)):
+        graph = kernel.Adjacency(rnd.integers(0, 1500, 4000), rnd.integers(0, 1500, 4000), weight)
+        for seeds in ({3: 0.0}, {3: 0.5, 700: 0.0, 701: 9.0}):
+            tree = graph_by_heap(graph, seeds)
+            assert not np.isfinite(tree).all()
+            for goal in [*range(0, len(tree), 7), 3, 700]:
+                way = graph.between(seeds, goal)
+                assert way is None if tree[goal] == math.inf else way == (tree[goal], graph.way_back(tree, seeds, goal))
+
+
+def test_one_goal_needs_no_tree(spark, monkeypatch):
+    monkeypatch.setattr(kernel, "SMALL", 0)
+    edges = spark.createDataFrame(web(300), "src long, dst long, weight double")
+    seeds = spark.createDataFrame([(k, k, 0.0) for k in range(20)], "origin_id long, node long, dist double")
+    goals = spark.createDataFrame([(k, (13 * k + 7) % 300) for k in range(20)], "origin_id long, target long")
+    tree = packed(web(300))
+    for r in kernel.kernel_paths(edges, seeds, goals).collect():
+        dist = graph_by_heap(tree, {r.origin_id: 0.0})
+        assert r.dist == dist[r.target] and r.path == tree.way_back(dist, {r.origin_id: 0.0}, r.target)
