@@ -4,7 +4,8 @@ import math
 
 import numpy as np
 
-from meshroute.operators import kernel, relax
+from meshroute.operators import attach, kernel, relax, routing
+from meshroute.operators.model import GeoGraph
 from meshroute.plans import catalogue
 
 
@@ -102,3 +103,34 @@ def test_one_goal_needs_no_tree(spark, monkeypatch):
     for r in kernel.kernel_paths(edges, seeds, goals).collect():
         dist = graph_by_heap(tree, {r.origin_id: 0.0})
         assert r.dist == dist[r.target] and r.path == tree.way_back(dist, {r.origin_id: 0.0}, r.target)
+
+
+def exchanged(df):
+    """How many exchanges the plan has, before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_matrix_without_gathering_its_pairs(spark):
+    """Rows come out of the task that has their tree: nothing but the points is exchanged, and no pair is written on the way."""
+    n = 200
+    nodes = spark.createDataFrame([(k, (k * 37 % 1409) / 10 - 70, (k * 91 % 3583) / 10 - 179) for k in range(n)], "node_id long, lat double, lon double")
+    g = GeoGraph(spark.createDataFrame([*web(n), (900, 901, 2.0)], "src long, dst long, weight double"), nodes.union(spark.createDataFrame([(900, 89.0, 3.0), (950, -89.0, 3.0)], nodes.schema)))
+    at = [(k, (k * 37 % 1409) / 10 - 70, (k * 91 % 3583) / 10 - 179 + 0.01 * (k % 3)) for k in range(0, n, 7)]
+    at += [(400, *at[3][1:]), (401, 89.0, 3.5), (402, -89.0, 3.0)]
+    points = spark.createDataFrame(at[::-1], "point_id long, lat double, lon double")
+    m = routing.distance_matrix(g, points, output_units="mi")
+    assert exchanged(m) == 1
+    leg = {r.point_id: (r.node_id, r.leg) for r in attach.nearest_node(points, g.nodes, "mi").collect()}
+    tree = packed([*web(n), (900, 901, 2.0)])
+    want = {}
+    for i, (a, a_leg) in leg.items():
+        dist = graph_by_heap(tree, {tree.place(a): 0.0}) if tree.place(a) >= 0 else np.full(n + 2, math.inf)
+        for j, (b, b_leg) in leg.items():
+            far = dist[tree.place(b)] if tree.place(b) >= 0 else math.inf
+            want[i, j] = 0.0 if a == b else far * 0.621371 + a_leg + b_leg if far < math.inf else None
+    got = {(r.i, r.j): r.distance for r in m.collect()}
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
+    assert len(got) == len(at) ** 2
+    dense = routing.dense_rows(g, points, output_units="mi")
+    assert exchanged(dense) == 1
+    assert {r.i: r.row for r in dense.collect()} == {i: [want[i, j] for j in sorted(leg)] for i in leg} == {r.i: r.row for r in routing.dense_matrix(m).collect()}
